@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from logweave.operators import training
+from logweave.queries import filtering, summaries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_entries": training.p2_entries,
@@ -16,6 +17,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_loaded": training.p6_loaded,
 }
 ORACLE: dict[str, str] = {}
+for module in (filtering, summaries):
+    QUERIES |= module.QUERIES
+    ORACLE |= module.ORACLE
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
