@@ -103,7 +103,7 @@ def step(c: Column, name: str) -> Column:
         case "form_decode":
             return F.try_url_decode(c)
         case "url_encode":
-            return F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+            return F.replace(F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
         case "hex_encode":
             return F.lower(F.hex(F.encode(c, "UTF-8")))
         case "hex_decode":

@@ -7,8 +7,9 @@ neighbours, so that a group with very many events spreads over many tasks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from typing import Any
+from collections import deque
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -96,26 +97,23 @@ def travel(df: DataFrame, by: Sequence[str], lat: str, lon: str, speed: float =
     return rows.where((F.col("km") >= distance) & (F.col("km") > F.col("hours") * speed))
 
 
-def _match(pdf: pd.DataFrame, steps: int, width: int, ordered: bool) -> list[tuple]:
-    """Matches of one stretch: each event serves one step of one match; equal instants don't prove an order."""
-    found = []
-    queues: list[list[tuple]] = [[] for _ in range(steps)]
-    for r in pdf.sort_values(["ts", "id"]).itertuples():
+def _match(rows: Iterable[tuple], steps: int, width: int, ordered: bool) -> Iterator[tuple]:
+    """Matches of one stretch of (ts, id, steps); each event serves one step of one match; equal instants don't prove an order."""
+    queues: list[deque] = [deque() for _ in range(steps)]
+    for ts, ident, mine in rows:
         for q in queues:
-            while q and r.ts - q[0][0] > width:
-                q.pop(0)
-        mine = [k for k in range(steps) if r.steps >> k & 1]
-        for k in mine:
-            queues[k].append((r.ts, r.id))
-        chain = _chain(queues, ordered)
-        if chain:
-            found.append((chain[0][0], chain[-1][0], [c[1] for c in chain]))
+            while q and ts - q[0][0] > width:
+                q.popleft()
+        for k in range(steps):
+            if mine >> k & 1:
+                queues[k].append((ts, ident))
+        if chain := _chain(queues, ordered):
+            yield chain[0][0], chain[-1][0], [c[1] for c in chain]
             for q in queues:
                 q.clear()
-    return found
 
 
-def _chain(queues: list[list[tuple]], ordered: bool) -> list[tuple] | None:
+def _chain(queues: Sequence[Iterable[tuple]], ordered: bool) -> list[tuple] | None:
     if any(not q for q in queues):
         return None
     if ordered:
@@ -155,12 +153,20 @@ def sequence(df: DataFrame, steps: Sequence[Column], by: Sequence[str], width: i
     rows = rows.withColumn("__new", (F.col("ts") - F.lag("ts").over(w) > width).cast("int"))
     rows = rows.withColumn("__stretch", F.sum(F.coalesce("__new", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     kinds = ", ".join(f"`{b}` {dict(rows.dtypes)[b]}" for b in by)
-    names, count = [*by, "first", "last", "events"], len(steps)
-
-    def match(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*key[:-1], *m) for m in _match(pdf, count, width, ordered)], columns=names)
-
-    return rows.groupBy(*by, "__stretch").applyInPandas(match, f"{kinds}, first long, last long, events array<long>")
+    names, count, keys = [*by, "first", "last", "events"], len(steps), [*by, "__stretch"]
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stream = (r for b in batches for r in zip(*(b[c].tolist() for c in (*keys, "ts", "id", "steps"))))
+        found = []
+        for key, group in groupby(stream, lambda r: r[: len(keys)]):
+            found += [(*key[:-1], *m) for m in _match((r[len(keys) :] for r in group), count, width, ordered)]
+            if len(found) >= 10_000:
+                yield pd.DataFrame(found, columns=names)
+                found = []
+        yield pd.DataFrame(found, columns=names)
+
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "ts", "id").select(*keys, "ts", "id", "steps")
+    return rows.mapInPandas(match, f"{kinds}, first long, last long, events array<long>")
 
 
 def absence(df: DataFrame, anchor: Column, expected: Column, by: Sequence[str], width: int, covered_until: int) -> DataFrame:

@@ -389,7 +389,7 @@ def transform_codecs(s, f):
     d = table(s, f, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t")).where("t <> ''")
     c = F.col("t")
     return d.select("doc_id", T.step(c, "base64_encode").alias("b64"), T.step(c, "hex_encode").alias("hx"), T.transform(c, ["base64url_encode", "base64url_decode"]).alias("back"),
-        T.transform(c, ["hex_encode", "hex_decode"]).alias("hex_back"), F.replace(T.step(c, "url_encode"), F.lit("%7E"), F.lit("~")).alias("url"), T.transform(c, ["url_encode", "url_decode"]).alias("url_back"))
+        T.transform(c, ["hex_encode", "hex_decode"]).alias("hex_back"), T.step(c, "url_encode").alias("url"), T.transform(c, ["url_encode", "url_decode"]).alias("url_back"))
 
 
 @query("select event_id, 'user ' || user_id as u, '' || (user_id % 9) as p from events")
