@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from logweave.session import cut
 
-_RUNS = "source string, message_key string, start_ms long, start_id long, end_ms long, lo_id long, hi_id long, events long, edge boolean"
+_RUNS = "source string, message_key string, start_ms long, start_id long, end_ms long, lo_id long, hi_id long, events long, edge int"
+#: Places of a run in its partition.
+FIRST, LAST = 1, 2
 _UUID = r"(?i)\{?\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b\}?"
 _HEX = r"(?i)(?<![0-9a-z])(?:0x)?[0-9a-f]{8,}(?![0-9a-z])"
 _NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
@@ -59,7 +61,7 @@ def _collapse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = b["id"].to_numpy()
         runs = pd.DataFrame({
             "source": b["source"].to_numpy()[at], "message_key": b["message_key"].to_numpy()[at], "start_ms": b["ms"].to_numpy()[at], "start_id": ids[at],
-            "end_ms": b["ms"].to_numpy()[ends - 1], "lo_id": np.minimum.reduceat(ids, at), "hi_id": np.maximum.reduceat(ids, at), "events": ends - at, "edge": False,
+            "end_ms": b["ms"].to_numpy()[ends - 1], "lo_id": np.minimum.reduceat(ids, at), "hi_id": np.maximum.reduceat(ids, at), "events": ends - at, "edge": 0,
         })
         last = (b["source"].iloc[-1], b["ms"].iloc[-1], b["id"].iloc[-1])
         if held is not None:
@@ -67,16 +69,16 @@ def _collapse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, runs = runs.iloc[-1:], runs.iloc[:-1].copy()
         if len(runs):
             if first:
-                runs.iloc[0, runs.columns.get_loc("edge")] = True
+                runs.iloc[0, runs.columns.get_loc("edge")] = FIRST
             first = False
             yield runs
     if held is not None:
-        yield held.assign(edge=True)
+        yield held.assign(edge=LAST | (FIRST if first else 0))
 
 
-def _merge(runs: pd.DataFrame) -> pd.DataFrame:
-    """Neighbouring runs of one source and key, in order, become one."""
-    at = _starts(runs)
+def _merge(runs: pd.DataFrame, at: np.ndarray | None = None) -> pd.DataFrame:
+    """Neighbouring runs of one source and key, in order, become one; at: where runs begin, if that isn't at every difference."""
+    at = _starts(runs) if at is None else at
     if len(at) == len(runs):
         return runs
     ends = np.append(at[1:], len(runs)) - 1
@@ -88,7 +90,12 @@ def _merge(runs: pd.DataFrame) -> pd.DataFrame:
 
 
 def _join_edges(runs: pd.DataFrame) -> pd.DataFrame:
-    return _merge(runs.sort_values(["source", "start_ms", "start_id"], ignore_index=True)).assign(edge=False)
+    runs = runs.sort_values(["source", "start_ms", "start_id"], ignore_index=True)
+    edge = runs["edge"].to_numpy()
+    apart = np.ones(len(runs), bool)  # only a partition's last run goes on in the next one's first
+    apart[1:] = (edge[:-1] & LAST == 0) | (edge[1:] & FIRST == 0)
+    at = np.union1d(_starts(runs), np.flatnonzero(apart))
+    return _merge(runs, at).assign(edge=0)
 
 
 def collapse_runs(events: DataFrame, source: str, ms: str, ident: str, key: Column, least: int = 1) -> DataFrame:
@@ -102,7 +109,7 @@ def collapse_runs(events: DataFrame, source: str, ms: str, ident: str, key: Colu
                          F.coalesce(key, F.lit("")).alias("message_key"))
     rows = rows.where("source is not null and ms is not null and id is not null")
     ordered = rows.repartitionByRange("source", "ms", "id").sortWithinPartitions("source", "ms", "id")
-    runs = cut(ordered.mapInPandas(_collapse, _RUNS).where(F.col("edge") | (F.col("events") >= least)))
-    edges = runs.where("edge").groupBy("edge").applyInPandas(_join_edges, _RUNS).where(F.col("events") >= least)
-    out = runs.where("not edge").unionByName(edges).drop("edge")
+    runs = cut(ordered.mapInPandas(_collapse, _RUNS).where((F.col("edge") > 0) | (F.col("events") >= least)))
+    edges = runs.where("edge > 0").groupBy(F.col("edge") > 0).applyInPandas(_join_edges, _RUNS).where(F.col("events") >= least)
+    out = runs.where("edge = 0").unionByName(edges).drop("edge")
     return out.withColumn("duration_ms", F.col("end_ms") - F.col("start_ms"))

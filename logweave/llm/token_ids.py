@@ -110,6 +110,8 @@ class Encoder:
 
     def learn(self, words: list[str]) -> dict[str, tuple[int, ...]]:
         """Tokens of distinct words."""
+        if not words:
+            return {}
         raw = [w.encode() for w in words]
         made = [[t] if (t := self.ranks.get(b)) is not None else self.propose(b) for b in raw]
         sizes = np.array([len(m) for m in made])
@@ -162,7 +164,7 @@ def with_token_ids(rows: DataFrame, text: str, name: str = "byte_bpe_50k", folde
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = Encoder(ranks.value)
         for s in batches:
-            yield pd.Series([ids for part in _slices([None if t is None else t for t in s.tolist()]) for ids in encoder.encode_batch(part)], dtype=object)
+            yield pd.Series([ids for part in _slices(s.tolist()) for ids in encoder.encode_batch(part)], dtype=object)
 
     return rows.withColumn(out, F.pandas_udf(run, "array<int>")(F.col(text)))
 
