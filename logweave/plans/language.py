@@ -159,7 +159,7 @@ def wildcard(text: str) -> str:
 class Compiler:
     def __init__(self, df: DataFrame):
         self.df = df
-        self.skip = {"arquivo", "caminho", "part_file", "part_path", "raw", "event_ref"}
+        self.skip = {"arquivo", "caminho", "part_file", "part_path", "raw", "event_ref", "level", "parse_status"}
 
     def free(self, kind: str, text: str) -> Column:
         """Free text: a phrase in any text of the event, values apart so that it can't span two of them."""

@@ -20,7 +20,7 @@ def decode(data: bytes) -> str:
     try:
         return data.decode("utf-8")
     except UnicodeDecodeError as e:
-        if e.start >= len(data) - 4:  # a character cut off at the end of the sample
+        if e.reason == "unexpected end of data" and len(data) >= 4096:  # a character cut off at the end of the sample
             return data[: e.start].decode("utf-8")
         return data.decode("cp1252", "replace")
 
@@ -51,7 +51,7 @@ def detect(data: bytes, levels=("error", "warn", "info", "debug")) -> str:
         except ValueError:
             pass
     if whole > len(lines) / 2:
-        return "jsonl"
+        return "json" if len(lines) == 1 and re.match(r'\s*\{\s*"(?:Records|value|events|data|hits|logs|items)"\s*:\s*[\[{]', text) else "jsonl"
     if text.lstrip()[:1] in "[{" and re.match(r'\s*[\[{]\s*(?:["{]|$)', text):
         router = Router(levels)
         if router.header(lines[0]) is None or text.lstrip()[0] == "[" or re.match(r'\s*\{\s*"(?:Records|value|events|data|hits|logs|items)"\s*:', text):

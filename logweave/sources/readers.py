@@ -212,9 +212,9 @@ read_logfmt = _by_line(key_values)
 
 def read_pattern(spark: SparkSession, path: str, pattern: str, **how) -> DataFrame:
     """A format given by an expression with named groups."""
-    names = re.findall(r"\(\?<(\w+)>", pattern) or re.findall(r"\(\?P<(\w+)>", pattern)
-    java = re.sub(r"\(\?P?<(\w+)>", r"(?<\1>", pattern)
-    index = [n for n in re.findall(r"\((?!\?)|\(\?<(\w+)>", java)]
+    java = re.sub(r"\(\?P<(\w+)>", r"(?<\1>", pattern)
+    index = re.findall(r"(?<!\\)\((?:(?!\?)|\?<(\w+)>)", java)
+    names = [n for n in index if n]
     return _by_line(lambda c: F.when(c.rlike(java), F.create_map(*[x for n in names for x in (F.lit(n), F.regexp_extract(c, java, index.index(n) + 1))])))(spark, path, **how)
 
 
