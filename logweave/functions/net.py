@@ -7,7 +7,8 @@ import ipaddress
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_V4 = r"^([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})$"
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|0*[0-9]{1,2})"
+_V4 = rf"^(?i)\s*(?:::ffff:)?({_OCTET}(?:\.{_OCTET}){{3}})(?::[0-9]+)?\s*$"
 # Scopes of addresses, the first net that holds the address wins.
 SCOPES = (
     ("loopback", ("127.0.0.0/8", "::1/128")),
@@ -20,10 +21,8 @@ SCOPES = (
 
 def ipv4_number(c: Column) -> Column:
     """An IPv4 address (or v4-mapped IPv6, or with a port) as an integer; null for anything else."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(c), r"^(?i)::ffff:", ""), r"^([0-9.]+):[0-9]+$", "$1")
-    parts = [F.regexp_extract(bare, _V4, k).try_cast("bigint") for k in range(1, 5)]
-    good = parts[0].between(0, 255) & parts[1].between(0, 255) & parts[2].between(0, 255) & parts[3].between(0, 255)
-    return F.when(good, ((parts[0] * 256 + parts[1]) * 256 + parts[2]) * 256 + parts[3])
+    octets = F.split(F.nullif(F.regexp_extract(c, _V4, 1), F.lit("")), r"\.")
+    return F.aggregate(octets, F.lit(0).cast("long"), lambda a, x: a * 256 + x.cast("long"))
 
 
 def ipv6_hex(c: Column) -> Column:
@@ -41,18 +40,35 @@ def ipv6_hex(c: Column) -> Column:
 
 
 def in_net(c: Column, net: str) -> Column:
-    """Whether an address lies in a net, v4 or v6; null addresses and other texts don't."""
-    n = ipaddress.ip_network(net.strip(), strict=False)
-    if n.version == 4:
-        return F.coalesce(ipv4_number(c).between(int(n.network_address), int(n.broadcast_address)), F.lit(False))
-    lo, hi = f"{int(n.network_address):032x}", f"{int(n.broadcast_address):032x}"
-    return F.coalesce(ipv6_hex(c).between(lo, hi), F.lit(False))
+    return in_nets(c, [net])
 
 
-def in_nets(c: Column, nets) -> Column:
+def _spans(nets) -> dict[int, list[tuple]]:
+    """First and last address of nets by version, as ipv4_number and ipv6_hex write them."""
+    out: dict[int, list[tuple]] = {4: [], 6: []}
+    for text in nets:
+        n = ipaddress.ip_network(text.strip(), strict=False)
+        lo, hi = int(n.network_address), int(n.broadcast_address)
+        out[n.version].append((lo, hi) if n.version == 4 else (f"{lo:032x}", f"{hi:032x}"))
+    return out
+
+
+def _within(address: Column, spans: list[tuple]) -> Column:
     out = F.lit(False)
-    for n in nets:
-        out = out | in_net(c, n)
+    for lo, hi in spans:
+        out = out | address.between(lo, hi)
+    return F.coalesce(out, F.lit(False))
+
+
+def in_nets(c: Column, nets) -> Column:
+    """Whether an address lies in one of the nets, v4 or v6; null addresses and other texts don't.
+
+    The address is read once: it is bound as the element of an array, whatever the number of nets.
+    """
+    spans, out = _spans(nets), F.lit(False)
+    for version, read in ((4, ipv4_number), (6, ipv6_hex)):
+        if spans[version]:
+            out = out | F.exists(F.array(read(c)), (lambda s: lambda a: _within(a, s))(spans[version]))
     return out
 
 
@@ -66,10 +82,15 @@ def is_net(text: str) -> bool:
 
 def ip_scope(c: Column) -> Column:
     """privado, público, loopback, link-local, multicast or reservado; null for no address."""
-    out = F.when(ipv4_number(c).isNull() & ipv6_hex(c).isNull(), None)
-    for name, nets in SCOPES:
-        out = out.when(in_nets(c, nets), name)
-    return out.otherwise("público")
+
+    def scope(a: Column) -> Column:
+        out = F.when(a["v4"].isNull() & a["v6"].isNull(), None)
+        for name, nets in SCOPES:
+            spans = _spans(nets)
+            out = out.when(_within(a["v4"], spans[4]) | _within(a["v6"], spans[6]), name)
+        return out.otherwise("público")
+
+    return F.transform(F.array(F.struct(ipv4_number(c).alias("v4"), ipv6_hex(c).alias("v6"))), scope)[0]
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
