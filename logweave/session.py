@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,9 +26,26 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once a context: it need not be installed there."""
+    context = spark.sparkContext
+    if getattr(context, "_logweave_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="logweave-")  # on the driver; executors fetch the file from it while the context lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = Path(folder, "logweave-package.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(path))
+    context._logweave_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder named in ``spark.checkpoint.dir``; only where none is set (tests) make one."""
     context = spark.sparkContext
