@@ -147,8 +147,8 @@ def rarity(s, f):
     return D.rarity(events_view(s, f), ["size", "k"])
 
 
-@query(f"""{EV}, u as (select 'code' as field, code as value, count(*) as n from ev group by 2 union all select 'source', source, count(*) from ev group by 2 union all select 'level', level, count(*) from ev group by 2),
-    t as (select field, sum(n) as p from u group by 1) select field, value, n, n <= greatest(2.0, p * 0.02) as rare from u join t using (field)""")
+@query(f"""{EV}, u as (select 'code' as field, code as value, count(*) as n from ev group by 2 union all select 'source', source, count(*) from ev group by 2 union all select 'level', level, count(*) from ev group by 2 union all select 'user', "user", count(*) from ev group by 2),
+    t as (select field, sum(n) as p, count(*) as v from u group by 1) select field, value, n, n <= greatest(2.0, p * 0.02) as rare from u join t using (field) where v between 2 and 64 and v <= p / 2""")
 def discover_categories(s, f):
     return X.categories(events_view(s, f), ["code", "source", "level", "user"])
 
