@@ -64,3 +64,13 @@ def sample(df: DataFrame, n: int, seed: int = 7) -> DataFrame:
     if share < 1 and some.count() < n:
         some = df
     return some.orderBy(h, "id").limit(n)
+
+
+def context(df: DataFrame, part_file: str, at: int, radius: int = 20, order: str = "id") -> DataFrame:
+    """Events of one file around a place."""
+    return df.where((F.col("part_file") == part_file) & F.col(order).between(at - radius, at + radius)).orderBy(order)
+
+
+def search_buckets(df: DataFrame, hit: Column, width: int) -> DataFrame:
+    """Hits by time bucket, for a search that shows where its hits lie: start, hits."""
+    return df.where(F.coalesce(hit, F.lit(False)) & F.col("ts").isNotNull()).groupBy((F.col("ts") - F.pmod("ts", F.lit(width))).alias("start")).agg(F.count("*").alias("hits"))
