@@ -24,9 +24,13 @@ def _prefix(bits: int) -> Column:
 
 
 def _keep(rows: DataFrame, kept: DataFrame, bits: int) -> DataFrame:
-    """rows whose prefix is retained; the size of the retained set is checked before it is broadcast."""
-    few = kept.limit(BROADCAST_PREFIXES + 1).count() <= BROADCAST_PREFIXES
-    kept = F.broadcast(kept) if few else kept
+    """rows whose prefix is retained.
+
+    Up to the bound the retained prefixes are fetched, once, and sent to every executor; beyond, they are joined by shuffle.
+    """
+    some = [(r["__p"],) for r in kept.limit(BROADCAST_PREFIXES + 1).collect()]
+    if len(some) <= BROADCAST_PREFIXES:
+        kept = F.broadcast(rows.sparkSession.createDataFrame(some, "__p long"))
     return rows.withColumn("__p", _prefix(bits)).join(kept, "__p", "left_semi").drop("__p")
 
 
