@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logweave.session import cut
+
 #: Bits of the hash that each round tells apart.
 ROUNDS = (16, 32, 64)
 #: Up to so many retained prefixes are sent to every executor; beyond, they are joined by shuffle.
@@ -83,6 +85,7 @@ def frequent_items(rows: DataFrame, value: str, weight: str, ident: str | None =
     if least is not None:
         out = out.where(F.col("total") >= least)
     if k is not None:
-        ranked = out.orderBy(F.desc("total")).limit(k).agg(F.min("total").alias("__m"))
-        out = out.join(F.broadcast(ranked), F.col("total") >= F.col("__m")).drop("__m")
+        out = cut(out)
+        bar = out.orderBy(F.desc("total")).limit(k).agg(F.min("total").alias("m")).first()["m"]
+        out = out.where(F.col("total") >= bar) if bar is not None else out
     return out
