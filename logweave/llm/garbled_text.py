@@ -240,5 +240,5 @@ def restored(rows: DataFrame, text: str, model: Bigrams) -> DataFrame:
             yield pd.Series([restorer.restore(t) if t else None for t in s.tolist()], dtype=object)
 
     touched = F.col(text).rlike(r"[^\x00-\x7f]")
-    some = rows.where(touched).withColumn("restored", F.pandas_udf(run, "string")(F.col(text)))
+    some = rows.where(touched).withColumn("restored", F.pandas_udf(run, "string").asNondeterministic()(F.col(text)))
     return some.unionByName(rows.where(~F.coalesce(touched, F.lit(False))).withColumn("restored", F.lit(None).cast("string")))

@@ -76,7 +76,7 @@ def with_digest(rows: DataFrame, text: str) -> DataFrame:
         for s in batches:
             yield pd.DataFrame([fold(read_record(t)) if t is not None else (None, None) for t in s.tolist()], columns=["digest", "canon"])
 
-    return rows.withColumn("fold", F.pandas_udf(run, "digest binary, canon string")(F.col(text)))
+    return rows.withColumn("fold", F.pandas_udf(run, "digest binary, canon string").asNondeterministic()(F.col(text)))
 
 
 def copies(records: DataFrame, ident: str, text: str, kind: str | None = None, hot_share: int = 1000) -> DataFrame:

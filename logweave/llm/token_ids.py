@@ -166,7 +166,7 @@ def with_token_ids(rows: DataFrame, text: str, name: str = "byte_bpe_50k", folde
         for s in batches:
             yield pd.Series([ids for part in _slices(s.tolist()) for ids in encoder.encode_batch(part)], dtype=object)
 
-    return rows.withColumn(out, F.pandas_udf(run, "array<int>")(F.col(text)))
+    return rows.withColumn(out, F.pandas_udf(run, "array<int>").asNondeterministic()(F.col(text)))
 
 
 def with_token_count(rows: DataFrame, text: str, name: str = "byte_bpe_50k", folder: str = TOKENIZERS, out: str = "tokens") -> DataFrame:
@@ -178,4 +178,4 @@ def with_token_count(rows: DataFrame, text: str, name: str = "byte_bpe_50k", fol
         for s in batches:
             yield pd.Series([len(ids) for part in _slices(s.tolist()) for ids in encoder.encode_batch(part)], dtype="int32")
 
-    return rows.withColumn(out, F.pandas_udf(run, "int")(F.col(text)))
+    return rows.withColumn(out, F.pandas_udf(run, "int").asNondeterministic()(F.col(text)))
