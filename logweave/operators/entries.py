@@ -148,7 +148,8 @@ def parse_texts(rows: DataFrame, levels: dict[str, str], text: str = "text", kee
                 out.append((f.layout, f.stamp, f.level, f.component, f.message if keep_message else None))
             yield pd.DataFrame(out, columns=["layout", "stamp", "level", "component", "message"])
 
-    return rows.withColumn("entry", F.pandas_udf(parse, FIELDS)(F.col(text)))
+    # marked nondeterministic, so that the optimizer doesn't copy the call into filters and run it twice
+    return rows.withColumn("entry", F.pandas_udf(parse, FIELDS).asNondeterministic()(F.col(text)))
 
 
 def with_standard_level(entries: DataFrame, levels: dict[str, str]) -> DataFrame:

@@ -194,4 +194,4 @@ def load_delimited(rows: DataFrame, origin: DataFrame, levels: dict[str, str], r
             made = pd.DataFrame(out, columns=["reason", "error_at", "error_field", "fields"])
             yield made.astype({"error_at": "Int64", "error_field": "Int32"})
 
-    return rows.withColumn("load", F.pandas_udf(load, _SCHEMA)(F.col(raw), F.col(part)))
+    return rows.withColumn("load", F.pandas_udf(load, _SCHEMA).asNondeterministic()(F.col(raw), F.col(part)))

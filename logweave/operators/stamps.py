@@ -264,4 +264,4 @@ def to_epoch_ms(text: str, zone: str, year: str, date: str, day_first: str) -> C
         for b in batches:
             yield instants(*b)
 
-    return F.pandas_udf(convert, "long")(*(F.col(c) for c in (text, zone, year, date, day_first)))
+    return F.pandas_udf(convert, "long").asNondeterministic()(*(F.col(c) for c in (text, zone, year, date, day_first)))
