@@ -59,7 +59,7 @@ def run(df: DataFrame, rule: dict) -> DataFrame:
     by = rule.get("by", [])
     where = compile_query(df, rule.get("where", ""))
     if rule.get("unless"):
-        where = where & ~compile_query(df, rule["unless"])
+        where = where & ~F.coalesce(compile_query(df, rule["unless"]), F.lit(False))
     width = span_ms(rule.get("window", "1h"))
     keyed = df.withColumns({f"__k{i}": F.col(f"`{b}`") for i, b in enumerate(by)})
     keys = [f"__k{i}" for i in range(len(by))]

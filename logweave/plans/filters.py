@@ -1,6 +1,7 @@
 """Filter chips compiled to one Column: a list of filters is a conjunction.
 
-Positive operators are false on missing values, negative ones (``not_*`` and ``empty``) true.
+Positive operators don't hold on missing values, negative ones (``not_*`` and ``empty``) do.  A positive condition is left null
+there, which counts as no: plain comparisons so stay in a form that reaches the scan.
 """
 
 from __future__ import annotations
@@ -54,31 +55,30 @@ def condition(df: DataFrame, f: Filter) -> Column:
     else:
         c = column_of(df, f.column)
     t = c.cast("string")
-    no = F.lit(False)
     match f.op:
         case "contains":
-            return F.coalesce(F.contains(F.lower(t), F.lit(f.value.lower())), no)
+            return F.contains(F.lower(t), F.lit(f.value.lower()))
         case "equals":
-            return F.coalesce(ascii_lower(t) == ascii_lower(F.lit(f.value.strip())), no)
+            return ascii_lower(t) == ascii_lower(F.lit(f.value.strip()))
         case "equals_exact":
-            return F.coalesce(t == f.value, no)
+            return t == f.value
         case "starts_with":
-            return F.coalesce(F.startswith(ascii_lower(t), ascii_lower(F.lit(f.value))), no)
+            return F.startswith(ascii_lower(t), ascii_lower(F.lit(f.value)))
         case "regex":
             return F.coalesce(t, F.lit("")).rlike(unicode_regex(f.value))
         case "gt" | "gte" | "lt" | "lte":
             a, b = _bound(c, f.value)
             test = {"gt": a > b, "gte": a >= b, "lt": a < b, "lte": a <= b}[f.op]
-            return F.coalesce(test, no)
+            return test
         case "between":
             (a, lo), (_, hi) = _bound(c, f.value), _bound(c, f.value2)
-            return F.coalesce((a >= lo) & (a <= hi), no)
+            return (a >= lo) & (a <= hi)
         case "empty":
             return blank(t)
         case "in":
-            return F.coalesce(F.lower(F.trim(t)).isin([x.lower() for x in _split(f.value)]), no)
+            return F.lower(F.trim(t)).isin([x.lower() for x in _split(f.value)])
         case "in_exact":
-            return F.coalesce(t.isin([x for x in f.value.split("\n") if x]), no)
+            return t.isin([x for x in f.value.split("\n") if x])
         case "cidr":
             return in_nets(t, _split(f.value))
         case "term":
@@ -93,13 +93,14 @@ def condition(df: DataFrame, f: Filter) -> Column:
                 return F.exists(F.split(F.coalesce(t, F.lit("")), "\n"), lambda x: x.rlike(pattern))
             return F.coalesce(t, F.lit("")).rlike(pattern)
         case "pattern":
-            return F.coalesce(pattern_of(t) == f.value, no)
+            return pattern_of(t) == f.value
     if f.op.startswith("not_"):
-        return ~condition(df, Filter(f.column, f.op[4:], f.value, f.value2))
+        return ~F.coalesce(condition(df, Filter(f.column, f.op[4:], f.value, f.value2)), F.lit(False))
     raise ValueError(f"unknown filter {f.op!r}")
 
 
 def compile_filters(df: DataFrame, filters: list[Filter]) -> Column:
+    """The conjunction; null counts as no."""
     out = F.lit(True)
     for f in filters:
         out = out & condition(df, f)

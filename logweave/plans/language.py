@@ -4,7 +4,8 @@
     atom := ( expression ) | field operator value | value
     value := word | "phrase" | /regex/ | a..b | [a TO b] | ( value OR value, ... ) | word with * and ?
 
-Logic is two-valued: a missing value makes a condition false before NOT is applied.
+Logic is two-valued: a missing value makes a condition false before NOT is applied.  Conditions that aren't negated are left null on
+missing values, which counts as no: plain comparisons so stay in a form that reaches the scan.
 """
 
 from __future__ import annotations
@@ -221,21 +222,21 @@ class Compiler:
                     out = out & self.compile(x) if node.kind == "and" else out | self.compile(x)
                 return out
             case "not":
-                return ~self.compile(node.children[0])
+                return ~F.coalesce(self.compile(node.children[0]), F.lit(False))
             case "text":
-                return F.coalesce(self.free(*node.value[0]), F.lit(False))
+                return self.free(*node.value[0])
         out = F.lit(False)
         plain = [v for k, v in node.value if k in ("word", "phrase") and not is_net(v)]
         key = ALIASES.get(node.name.lower(), node.name)
         if node.op == ":" and len(plain) == len(node.value) > 1 and key not in (*TEXT_COLUMNS, "level"):
-            return F.coalesce(F.lower(F.trim(column_of(self.df, key).cast("string"))).isin([v.strip().lower() for v in plain]), F.lit(False))
+            return F.lower(F.trim(column_of(self.df, key).cast("string"))).isin([v.strip().lower() for v in plain])
         for kind, text in node.value:
-            out = out | F.coalesce(self.one(node.name, node.op, kind, text), F.lit(False))
-        return ~out if node.op == "!=" else out
+            out = out | self.one(node.name, node.op, kind, text)
+        return ~F.coalesce(out, F.lit(False)) if node.op == "!=" else out
 
 
 def compile_query(df: DataFrame, text: str) -> Column:
-    """The predicate of a query over the events ``df``; an empty query holds for every event."""
+    """The predicate of a query over the events ``df``, where null counts as no; an empty query holds for every event."""
     return Compiler(df).compile(Parser(text).parse()) if text.strip() else F.lit(True)
 
 
