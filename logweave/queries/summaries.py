@@ -53,6 +53,12 @@ def agg_string_agg(s, f):
     return A.aggregate(ev, [Filter("k", "gt", "90")], "source", [M("count"), M("string_agg", "code", "codes")])
 
 
+@query(f"""{EV}, r as (select *, row_number() over (partition by source order by id) as rn from ev)
+    select source as key, count(*) as count, string_agg(code, ', ' order by id) filter (rn <= 100) || case when count(*) >= 100 then ', …' else '' end as codes from r group by source""")
+def agg_string_agg_whole(s, f):
+    return A.aggregate(events_view(s, f), [], "source", [M("count"), M("string_agg", "code", "codes")])
+
+
 @query(f"{EV} select \"user\" as key, count(*) as count from ev group by 1 order by 2 desc, 1 limit 25")
 def agg_top_cap(s, f):
     return A.aggregate(events_view(s, f), [], "user", [M("count")], cap=25)
