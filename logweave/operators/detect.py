@@ -177,23 +177,30 @@ def absence(df: DataFrame, anchor: Column, expected: Column, by: Sequence[str],
     return rows.where(F.col("__a") & (F.col("__seen") == 0) & (F.col("ts") + width <= covered_until)).drop("__a", "__e", "__seen")
 
 
-def episodes(members: DataFrame, rounds: int = 64) -> DataFrame:
+def episodes(members: DataFrame) -> DataFrame:
     """Findings that share events, directly or over others, as one episode: finding, episode (its smallest finding).
 
-    members: finding, event_ref.  Labels spread by alternating minima, each round cut by a checkpoint.
+    members: finding, event_ref.  Each event ties its findings to the smallest of them; large-star and small-star steps,
+    each round cut by a checkpoint, go on until every finding hangs on the smallest of its episode, in rounds that grow with
+    the logarithm of the longest chain.
     """
     from logweave.session import cut
 
-    label = members.select("finding").distinct().withColumn("episode", F.col("finding"))
-    links = cut(members.select("finding", "event_ref").distinct())
-    for _ in range(rounds):
-        by_event = links.join(label, "finding").groupBy("event_ref").agg(F.min("episode").alias("m"))
-        better = links.join(by_event, "event_ref").groupBy("finding").agg(F.min("m").alias("m"))
-        step = cut(label.join(better, "finding").select("finding", F.least("episode", "m").alias("new"), "episode"))
-        label = step.select("finding", F.col("new").alias("episode"))
-        if step.where("new <> episode").isEmpty():
+    links = cut(members.where("finding is not null").select("finding", "event_ref").distinct())
+    hubs = links.groupBy("event_ref").agg(F.min("finding").alias("low"))
+    edges = cut(links.join(hubs, "event_ref").where("finding > low").select(F.col("finding").alias("high"), "low").distinct())
+    while True:
+        least = edges.groupBy("high").agg(F.min("low").alias("least"))
+        large = edges.join(least.withColumnRenamed("high", "low"), "low", "left").select("high", F.coalesce("least", "low").alias("low")).distinct()
+        # one row for each edge to the least of its neighbours: both ends of an edge go there
+        ends = large.join(large.groupBy("high").agg(F.min("low").alias("least")), "high")
+        ends = ends.select(F.explode(F.array("high", "low")).alias("high"), F.col("least").alias("low")).where("high > low").distinct()
+        edges = cut(ends)
+        twice = edges.groupBy("high").count().where("count > 1")
+        if twice.isEmpty() and edges.join(edges.select(F.col("high").alias("low")), "low", "left_semi").isEmpty():
             break
-    return label
+    rows = links.select("finding").distinct().join(edges.withColumnRenamed("high", "finding"), "finding", "left")
+    return rows.select("finding", F.coalesce("low", "finding").alias("episode"))
 
 
 def entity_risk(findings: DataFrame) -> DataFrame:

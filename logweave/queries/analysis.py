@@ -125,7 +125,7 @@ Q["detect_travel"] = detect_travel
 
 def episodes(s, f):
     """Findings (user and hour) that share sources within a day, as episodes."""
-    ev = events_view(s, f).where("code = 'error' and k > 85")
+    ev = events_view(s, f).where("code = 'error'")
     members = ev.select(F.concat_ws(":", "user", F.floor(F.col("ts") / H).cast("string")).alias("finding"), F.concat_ws(":", "source", F.floor(F.col("ts") / (24 * H)).cast("string")).alias("event_ref"))
     return D.episodes(members)
 

@@ -130,6 +130,17 @@ def test_episodes(spark):
     assert {(r[0], r[1]) for r in D.episodes(m).collect()} == {("f1", "f1"), ("f2", "f1"), ("f3", "f1"), ("f4", "f4")}
 
 
+def test_episodes_of_long_chains(spark):
+    import random
+
+    chain = list(range(300))
+    random.Random(1).shuffle(chain)  # smallest findings don't lie at an end
+    rows = [(f"a{k:03}", f"e{e}") for k in range(400) for e in (k, k + 1)] + [(f"b{x:03}", f"s{e}") for k, x in enumerate(chain) for e in (k, k + 1)] + [("c", "lone")]
+    m = spark.createDataFrame(rows, "finding string, event_ref string")
+    got = {r["finding"]: r["episode"] for r in D.episodes(m).collect()}
+    assert got == {f: {"a": "a000", "b": "b000", "c": "c"}[f[0]] for f, _ in rows}
+
+
 def test_joins(spark):
     left = spark.createDataFrame([(1, "a", 5), (2, "a", 200_000_000), (3, "b", 5), (4, None, 7)], "id long, k string, ts long")
     right = spark.createDataFrame([("a", 5, "x"), ("a", 6, "y"), ("b", 6, "z")], "k string, rts long, v string")
