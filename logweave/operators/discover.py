@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
+from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,6 +67,93 @@ def shifts(df: DataFrame, outcome: str, bins: int = 12, delta: float = 0.35, lea
     return out.where((F.col("here") >= least) & (rest >= baseline) & (F.col("share") - F.col("expected") >= delta)).select("bin", "outcome", "n", "share", "expected")
 
 
+def context_shifts(df: DataFrame, fields: Sequence[str], outcomes: Sequence[str] = ("level", "code", "pattern"), bins: int = 12, top: int = 8) -> DataFrame:
+    """Shifts of several outcomes over all rows and within contexts, strongest first: kind, context, outcome, expected, observed, bin, n, here, share, was, score.
+
+    A context is a value of one of the first six fields of 2 to 12 values, or of two or three of them together; those of 24 rows
+    and more count, 256 at most.  A bin of three rows, with 20 outside it, gives a shift where a value other than the usual one
+    (within a context: one of 0.8 of the rest) has a share of 0.35 more than in the rest, or over all rows is a new pattern
+    with a share of 0.15.  Of shifts of like outcome and value in neighbouring bins and nested contexts the strongest stays.
+    """
+    names = "kind string, context map<string,string>, outcome string, expected string, observed string, bin int, n long, here long, share double, was double, score double"
+    timed = df.where("ts is not null")
+    span = timed.agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n")).first()
+    if span["n"] < 24 or span["a"] == span["b"]:
+        return df.sparkSession.createDataFrame([], names)
+    width = max(1, -(-(span["b"] - span["a"] + 1) // bins))
+    known = {r["field"] for r in unpivot(df, fields).groupBy("field").agg(F.count_distinct("value").alias("v"), F.count("*").alias("n")).where("v between 2 and 12 and n >= 40").collect()}
+    fields = [x for x in fields if x in known][:6]
+    # values of each outcome in order of number; those beyond 64 count only in totals
+    ranked = unpivot(df, outcomes).where(F.trim("value") != "").groupBy("field", "value").agg(F.count("*").alias("c"))
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("field").orderBy(F.desc("c"), "value"))).where("rank <= 64")
+    labels: dict[str, dict[str, int]] = {o: {} for o in outcomes}
+    for r in ranked.collect():  # at most 64 rows an outcome
+        labels[r["field"]][r["value"]] = r["rank"]
+    outcomes = [o for o in outcomes if len(labels[o]) > 1]
+
+    texts = {c: F.col(c).cast("string") for c in {*fields, *outcomes}}
+    cells = timed.select(F.floor((F.col("ts") - span["a"]) / width).cast("int").alias("bin"), F.col("id"), *[F.when(F.trim(t) != "", t).alias(c) for c, t in texts.items()])
+    cells = cells.groupBy("bin", *texts).agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    sets = [c for k in (1, 2, 3) for c in combinations(fields, k)]
+    whole = F.when(F.lit(True), F.create_map().cast("map<string,string>"))
+    contexts = [whole, *[F.when(reduce(lambda a, b: a & b, [F.col(x).isNotNull() for x in c]), F.create_map(*[y for x in c for y in (F.lit(x), F.col(x))])) for c in sets]]
+    cells = cells.withColumn("context", F.explode(F.filter(F.array(*contexts), lambda c: c.isNotNull()))).withColumn("key", F.to_json("context"))
+    support = cells.groupBy("key").agg(F.sum("n").alias("s")).where((F.col("s") >= 24) & (F.col("key") != "{}")).orderBy(F.desc("s"), "key").limit(256)
+    held = {"{}", *[r["key"] for r in support.collect()]}  # at most 257
+    values = F.explode(F.array(*[F.struct(F.lit(o).alias("outcome"), F.col(o).alias("value")) for o in outcomes])) if outcomes else None
+    if values is None:
+        return df.sparkSession.createDataFrame([], names)
+    counts = cells.where(F.col("key").isin(*held)).select("key", "context", "bin", "n", "id", values.alias("v")).where("v.value is not null")
+    counts = counts.groupBy("key", "bin", "v.outcome", "v.value").agg(F.first("context").alias("context"), F.sum("n").alias("n"), F.min("id").alias("id"))
+    kept = reduce(lambda a, b: a | b, [(F.col("outcome") == o) & F.col("value").isin(*labels[o]) for o in outcomes])
+    counts = counts.groupBy("key", "bin", "outcome", F.when(kept, F.col("value")).alias("value")).agg(F.first("context").alias("context"), F.sum("n").alias("n"), F.min("id").alias("id"))
+
+    # at most 257 contexts, 12 bins and 65 values of each outcome
+    found: dict[bool, list[tuple]] = {True: [], False: []}
+    tables: dict[tuple, dict[int, dict]] = {}
+    context_of: dict[str, dict] = {}
+    for r in counts.collect():
+        context_of[r["key"]] = dict(r["context"])
+        tables.setdefault((r["key"], r["outcome"]), {}).setdefault(r["bin"], {})[r["value"]] = (r["n"], r["id"])
+    for (key, outcome), by_bin in tables.items():
+        rank, context, every = labels[outcome], context_of[key], Counter()
+        for window in by_bin.values():
+            every.update({v: n for v, (n, _) in window.items()})
+        total = sum(every.values())
+        for b, window in by_bin.items():
+            here = sum(n for n, _ in window.values())
+            rest = total - here
+            if rest < 20 or here < 3:
+                continue
+            was = {v: every[v] - window.get(v, (0, 0))[0] for v in rank}
+            expected = max(rank, key=lambda v: (was[v], -rank[v]))
+            usual = was[expected] / rest
+            if context and usual < 0.8:
+                continue
+            for v, (n, first) in window.items():
+                if v is None or v == expected or n < 3:
+                    continue
+                share, before = n / here, was[v] / rest
+                new = not context and outcome == "pattern" and not was[v] and share >= 0.15
+                if share - before < 0.35 and not new:
+                    continue
+                kind = "behavior_shift" if context else "new_pattern" if new else "distribution_shift"
+                score = (share - before) * n**0.5 * (usual if context else 1.0)
+                found[bool(context)].append((kind, context, outcome, expected, v, b, n, here, share, before, score, first, was[v]))
+    out: list[tuple] = []
+    special = {"pattern": 0, "code": 1}
+    for shifts_found in found.values():
+        chosen: list[tuple] = []
+        for s in sorted(shifts_found, key=lambda s: (-s[10], len(s[1]), s[5], special.get(s[2], 2), s[2], s[4], sorted(s[1].items()))):
+            like = (o for o in chosen if abs(o[5] - s[5]) <= 1 and (o[1].items() <= s[1].items() or s[1].items() <= o[1].items()))
+            if not any((o[2], o[4]) == (s[2], s[4]) or (o[11], o[6], o[12]) == (s[11], s[6], s[12]) for o in like):
+                chosen.append(s)
+            if len(chosen) == top:
+                break
+        out += [s[:11] for s in chosen]
+    return df.sparkSession.createDataFrame(out, names)
+
+
 def journey_index(df: DataFrame, key: str, most_sources: int = 12, singles: bool = False) -> DataFrame:
     """Events by identifier: value, n, start, end, duration, sources, errors, warnings, missing_time."""
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("value"), "ts", "level", "source")
@@ -102,6 +192,31 @@ def variants(runs: DataFrame, least: int = 5, common: float = 0.7) -> DataFrame:
     return counts.where(F.col("shape") != top["t"]["shape"])
 
 
+def cohort_variants(runs: DataFrame, cohort: Sequence[str], least: int = 5, common: float = 0.7) -> DataFrame:
+    """Shapes other than the usual one of their cohort, where one shape makes at least ``common`` of its runs: cohort, shape, n, usual, usual_n, total."""
+    counts = runs.groupBy(*cohort, "shape").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*cohort)
+    first = F.first(F.struct("n", "shape")).over(w.orderBy(F.desc("n"), "shape"))
+    out = counts.withColumn("__top", first).withColumn("total", F.sum("n").over(w))
+    out = out.where((F.col("__top.n") >= least) & (F.col("__top.n") >= common * F.col("total")) & (F.col("shape") != F.col("__top.shape")))
+    return out.select(*cohort, "shape", "n", F.col("__top.shape").alias("usual"), F.col("__top.n").alias("usual_n"), "total")
+
+
+def variant_contrasts(runs: DataFrame, cohort: Sequence[str], attributes: Sequence[str], least: int = 3, top: int = 3, **rule) -> DataFrame:
+    """For each variant the attribute values in whose runs it is most frequent against the cohort's other runs: cohort, shape, field, value, n, hit, other, other_hit, unknown, rank."""
+    keys = [*cohort, "shape"]
+    found = cohort_variants(runs, cohort, **rule).select(*keys)
+    values = F.explode(F.array(*[F.struct(F.lit(a).alias("field"), F.col(a).cast("string").alias("value")) for a in attributes]))
+    counts = runs.select(*keys, values.alias("v")).where("v.value is not null").groupBy(*keys, "v.field", "v.value").agg(F.count("*").alias("hit"))
+    by_value, by_field, by_shape = Window.partitionBy(*cohort, "field", "value"), Window.partitionBy(*cohort, "field"), Window.partitionBy(*keys, "field")
+    counts = counts.withColumn("n", F.sum("hit").over(by_value)).withColumn("known", F.sum("hit").over(by_field)).withColumn("hits", F.sum("hit").over(by_shape))
+    sizes = runs.groupBy(*cohort).agg(F.count("*").alias("__all"))
+    rows = counts.join(found, keys).join(sizes, list(cohort)).withColumn("other", F.col("known") - F.col("n")).withColumn("other_hit", F.col("hits") - F.col("hit"))
+    rows = rows.where((F.col("n") >= least) & (F.col("other") >= least)).withColumn("unknown", F.col("__all") - F.col("known"))
+    order = F.desc(F.col("hit") / F.col("n") - F.col("other_hit") / F.col("other"))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(order, "field", "value"))).where(F.col("rank") <= top).select(*keys, "field", "value", "n", "hit", "other", "other_hit", "unknown", "rank")
+
+
 def long_runs(runs: DataFrame, run: str, least: int = 12) -> DataFrame:
     """Runs of at least 3 medians and 1.5 ninetieth percentiles of their shape, for shapes of ``least`` runs."""
     rows = runs.withColumn("duration", F.col("last") - F.col("first"))

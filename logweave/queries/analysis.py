@@ -211,6 +211,20 @@ def _runs(s, f):
     return X.run_shapes(ev, "run", "code")
 
 
+def discover_context_shifts(s, f):
+    """Shifts of level, code and message pattern, over all events and within sources and weekdays."""
+    ev = events_view(s, f).withColumn("pattern", pattern_of(F.col("message"))).withColumn("weekday", F.dayofweek(F.timestamp_millis("ts")))
+    return X.context_shifts(ev, ["source", "weekday"])
+
+
+Q["discover_context_shifts"] = discover_context_shifts
+
+
+def _source_runs(s, f):
+    """The same runs with their user and source: a user has one source."""
+    return _runs(s, f).withColumn("user", F.substring_index("run", ":", 1)).withColumn("source", F.concat(F.lit("source-"), F.substring_index("user", "-", -1).cast("long") % 12))
+
+
 @query(f"{EV}, {_RUNS} select * from runs")
 def operational_runs(s, f):
     return _runs(s, f)
@@ -222,6 +236,22 @@ def operational_variants(s, f):
     return X.variants(_runs(s, f), 5, 0.05)
 
 
+_DAYS = """runs as (select source, \"user\", string_agg(code, '>' order by ts, id) as shape from ev group by source, \"user\", ts // 43200000),
+    c as (select source, shape, count(*) as n from runs group by 1, 2), t as (select *, sum(n) over (partition by source) as total, row_number() over (partition by source order by n desc, shape) as r from c)"""
+
+
+@query(f"""{EV}, {_DAYS} select c.source, c.shape, c.n, t.shape as usual, t.n as usual_n, t.total::bigint as total from t join c on c.source = t.source and c.shape <> t.shape where t.r = 1 and t.n >= 5 and t.n >= 0.05 * t.total""")
+def operational_cohort_variants(s, f):
+    return X.cohort_variants(_source_runs(s, f), ["source"], 5, 0.05)
+
+
+def operational_variant_contrasts(s, f):
+    return X.variant_contrasts(_source_runs(s, f), ["source"], ["user", "failed"], least=3, common=0.05)
+
+
+Q["operational_variant_contrasts"] = operational_variant_contrasts
+
+
 @query(f"""{EV}, {_RUNS}, d as (select run, shape, last - first as duration from runs), p as (select shape, quantile_disc(duration, 0.5) as p50, quantile_disc(duration, 0.9) as p90 from d group by 1 having count(*) >= 12)
     select run, shape, duration, p50, p90 from d join p using (shape) where duration >= 3 * p50 and duration > 1.5 * p90""")
 def operational_durations(s, f):

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logweave.operators import detect as D
+from logweave.operators import discover as X
 from logweave.operators.joins import ancestors, as_of_join, indicator_match, reference_lookup
 from logweave.plans import console
 from logweave.plans.filters import Filter, apply
@@ -152,3 +153,23 @@ def test_joins(spark):
     assert ids(indicator_match(seen, "d", ioc)) == [1]
     chain = spark.createDataFrame([(k, k - 1 if k else None) for k in range(20)], "c long, p long")
     assert ancestors(chain, "c", "p").count() == 190
+
+
+def test_shifts_within_a_context(spark):
+    # 12 bins of 40 rows; one source of four, diluted in the whole, turns to another code in bin 6, and a new pattern comes up in bin 9
+    rows = [(b * 40 + k, (b * 40 + k) * 1000, f"s{k % 4}", "i", "late" if b == 6 and k % 4 == 1 else "ok", "new" if b == 9 and k % 5 == 0 else "old") for b in range(12) for k in range(40)]
+    df = spark.createDataFrame(rows, "id long, ts long, source string, level string, code string, pattern string")
+    assert all(X.shifts(df, o).count() == 0 for o in ("level", "code", "pattern"))
+    got = {(r["kind"], tuple(r["context"].items()), r["outcome"], r["observed"], r["bin"], r["n"], r["here"]) for r in X.context_shifts(df, ["source"]).collect()}
+    assert got == {("behavior_shift", (("source", "s1"),), "code", "late", 6, 10, 10), ("new_pattern", (), "pattern", "new", 9, 8, 40)}
+    assert X.context_shifts(df.limit(0), ["source"]).count() == 0
+
+
+def test_variants_of_cohorts(spark):
+    rows = [("a", "h1", "x>y")] * 6 + [("a", "h2", "x>z")] * 3 + [("a", "h1", "x>z"), ("a", None, "x>y")] + [("b", "h1", "p>q")] * 8 + [("b", "h1", "p")]
+    runs = spark.createDataFrame(rows, "source string, host string, shape string")
+    assert X.variants(runs).count() == 0  # no shape is usual in all runs
+    got = {tuple(r) for r in X.cohort_variants(runs, ["source"], common=0.6).collect()}
+    assert got == {("a", "x>z", 4, "x>y", 7, 11), ("b", "p", 1, "p>q", 8, 9)}
+    got = [tuple(r) for r in X.variant_contrasts(runs, ["source"], ["host"], common=0.6).collect()]
+    assert got == [("a", "x>z", "host", "h2", 3, 3, 7, 1, 1, 1), ("a", "x>z", "host", "h1", 7, 1, 3, 3, 1, 2)]
