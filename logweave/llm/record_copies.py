@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from logweave.session import cut
 
 _DROP = regex.compile(r"[^\p{L}\p{M}\p{N}\p{Sc}]+")
-_PAIR = regex.compile(r"""(?:^|[;,|&\n])[\s\[{(]*["']?([\p{L}_@][\w.@ -]{0,63}?)["']?\s*([=:])""")
+# a name may have any length; possessive, so that long texts without a mark are read once
+_PAIR = regex.compile(r"""(?:^|[;,|&\n])[\s\[{(]*["']?([\p{L}_@][\w.@-]*+(?: ++[\w.@-]++)*+) *+["']?\s*+([=:])""")
 _JSON = json.JSONDecoder(strict=False, parse_float=str, parse_int=str, object_pairs_hook=lambda pairs: _Fields(pairs))
 
 

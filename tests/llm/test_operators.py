@@ -98,6 +98,22 @@ def test_equal_digests_are_confirmed(spark, monkeypatch):
     assert {(r["id"], r["first_id"]) for r in R.copies(df, "id", "t").collect()} == {(1, 1), (3, 1), (2, 2), (4, 2), (5, 5)}
 
 
+def test_long_field_names(spark):
+    name = "a" * 50 + " " + "b" * 49
+    df = spark.createDataFrame([(1, f"x=1; {name}=2; y=3"), (2, f"{name} = 2; y = 3; x = 1"), (3, f"x=1; {name}=4; y=3")], "id long, t string")
+    assert {(r["id"], r["first_id"]) for r in copies(df, "id", "t").collect()} == {(1, 1), (2, 1), (3, 3)}
+    assert read_record("word " * 50_000) == "word " * 50_000 and read_record(" " * 20_000 + "x") == " " * 20_000 + "x"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab -.;\n'\"=:[1", max_size=30))
+def test_field_names_as_by_the_plain_expression(text):
+    plain = regex.compile(r"""(?:^|[;,|&\n])[\s\[{(]*["']?([\p{L}_@][\w.@ -]*?)["']?\s*([=:])""")
+    from logweave.llm.record_copies import _PAIR
+
+    assert [(m[1].strip(), m[2], m.span()) for m in _PAIR.finditer(text)] == [(m[1].strip(), m[2], m.span()) for m in plain.finditer(text)]
+
+
 # ---- garbled text ----
 CLEAN = ["sessão {} encerrada: três exceções em {} minutos", "não há espaço em disco no volume {}", "contraseña errónea en el día {}, año {}", "Größe der Prüfdatei {} überschritten ({} Blöcke)", "temperatura de {} °C no rack {}", "custo de {}¢ por lote {}",
          "сервер {} недоступен", "ジョブ {} 完了 ({} 件)", "├── volume {}: {} arquivos", "√ teste {} passou", "SÃO {} caixas; ÂMBITO {}", "½ do lote {} × {}", "plain text {} ok {}", "preço médio de {} € na região {}"]
