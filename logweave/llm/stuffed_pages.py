@@ -220,13 +220,15 @@ class Model:
 
 
 def fit(pages: DataFrame, text: str, sample: int = SAMPLE) -> Model:
-    """A model fitted on the ``sample`` distinct texts of smallest hash."""
-    some = pages.select(F.col(text).alias("t")).where("t is not null and length(trim(t)) > 0")
-    # tasks send only texts whose hash lies in a share of the range that holds about 1.5 samples
-    share = min(1.0, 1.5 * sample / max(some.count(), 1))
-    some = some.withColumn("h", F.xxhash64("t")).where(F.col("h") < F.lit(int(-(2**63) + share * (2**64 - 1))) if share < 1 else F.lit(True))
-    some = some.dropDuplicates(["h"]).orderBy("h").limit(sample)
-    seen = [[features(w) for w in segments(r["t"])] for r in some.collect()]
+    """A model fitted, without labels, on the ``sample`` distinct texts of smallest hash, or on all if there are fewer."""
+    some = pages.select(F.col(text).alias("t")).where("t is not null and length(trim(t)) > 0").withColumn("h", F.xxhash64("t"))
+    # tasks send only texts whose hash lies in a share of the range that holds about 1.5 samples of distinct texts
+    share = 1.5 * sample / max(some.select("h").distinct().count(), 1)
+    few = some.where(F.col("h") < F.lit(int(-(2**63) + share * (2**64 - 1)))) if share < 1 else some
+    rows = few.dropDuplicates(["h"]).orderBy("h").limit(sample).collect()
+    if share < 1 and len(rows) < sample:
+        rows = some.dropDuplicates(["h"]).orderBy("h").limit(sample).collect()
+    seen = [[features(w) for w in segments(r["t"])] for r in rows]
     return Model().fit([x for x in seen if x])
 
 

@@ -304,3 +304,13 @@ def test_pages(spark):
     pages = [[S.features(w) for w in S.segments(t)] for t, _ in pages[:120]] + [[]]
     assert all((model.posterior(x)[0].argmax(1) == y).all() for x, y in zip(pages, model.labels(pages)) if x)
     assert S.Model().shares(["word " * 200_000, None, ""])[1:] == [0, 0]
+
+
+def test_sample_is_sized_by_distinct_texts(spark, monkeypatch):
+    texts = [f"text {k}" for k in range(40)]
+    df = spark.createDataFrame([(texts[k % 40],) for k in range(1000)], "text string")
+    held = []
+    monkeypatch.setattr(S.Model, "fit", lambda self, pages: held.append(len(pages)) or self)
+    S.fit(df, "text", sample=30)
+    S.fit(df, "text", sample=60)
+    assert held == [30, 40]
