@@ -99,16 +99,19 @@ def indicator_match(rows: DataFrame, column: str, indicators: DataFrame) -> Data
     return rows.withColumn("__i", canonical_indicator(F.col(column))).join(sized(known), "__i").drop("__i")
 
 
-def bridges(rows: DataFrame, width: int = 3_600_000, most: int = 64) -> DataFrame:
+def bridges(rows: DataFrame, width: int = 3_600_000, most: int | None = 64) -> DataFrame:
     """Two-hop links (a, b) -> (b, c) across sources within a time span: rows have source, ts, k1, k2.
 
-    Middle keys that stand in more than ``most`` rows are no identifiers and link nothing.
+    Middle keys that stand in more than ``most`` rows are no identifiers and link nothing (64 is the reference's rule); with
+    ``most=None`` every key links.  Rows that agree in key, ends, source and time are counted before they are joined in blocks of time.
     """
-    good = rows.groupBy("k2").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("k2")
-    first = rows.join(good, "k2", "left_semi").select(F.col("k2").alias("mid"), F.col("k1").alias("from"), F.col("ts").alias("t1"), F.col("source").alias("s1"))
-    second = rows.select(F.col("k1").alias("mid"), F.col("k2").alias("to"), F.col("ts").alias("t2"), F.col("source").alias("s2"))
+    good = rows
+    if most is not None:
+        good = rows.join(rows.groupBy("k2").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("k2"), "k2", "left_semi")
+    first = good.groupBy(F.col("k2").alias("mid"), F.col("k1").alias("from"), F.col("ts").alias("t1"), F.col("source").alias("s1")).agg(F.count("*").alias("c1"))
+    second = rows.groupBy(F.col("k1").alias("mid"), F.col("k2").alias("to"), F.col("ts").alias("t2"), F.col("source").alias("s2")).agg(F.count("*").alias("c2"))
     pairs = band_join(first, second, ["mid"], "t1", "t2", width, False).where("s1 <> s2")
-    return pairs.groupBy("mid", "from", "to").agg(F.count("*").alias("n"), F.min("t1").alias("first"))
+    return pairs.groupBy("mid", "from", "to").agg(F.sum(F.col("c1") * F.col("c2")).alias("n"), F.min("t1").alias("first"))
 
 
 def ancestors(links: DataFrame, child: str, parent: str, depth: int = 128) -> DataFrame:

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from logweave.operators import detect as D
 from logweave.operators import discover as X
-from logweave.operators.joins import ancestors, as_of_join, indicator_match, reference_lookup
+from logweave.operators.joins import ancestors, as_of_join, bridges, indicator_match, reference_lookup
 from logweave.plans import console
 from logweave.plans.filters import Filter, apply
 from logweave.plans.language import Parser, QueryError, search
@@ -173,3 +173,16 @@ def test_variants_of_cohorts(spark):
     assert got == {("a", "x>z", 4, "x>y", 7, 11), ("b", "p", 1, "p>q", 8, 9)}
     got = [tuple(r) for r in X.variant_contrasts(runs, ["source"], ["host"], common=0.6).collect()]
     assert got == [("a", "x>z", "host", "h2", 3, 3, 7, 1, 1, 1), ("a", "x>z", "host", "h1", 7, 1, 3, 3, 1, 2)]
+
+
+def test_bridges_over_a_hot_key(spark):
+    rows = [("s", 100 * (k % 50), f"a{k % 3}", "hot") for k in range(200)] + [("t", 3000 + k // 2, "hot", f"c{k % 2}") for k in range(40)]
+    df = spark.createDataFrame(rows, "source string, ts long, k1 string, k2 string")
+    want = {}
+    for s1, t1, a, m in rows:
+        for s2, t2, n, c in rows:
+            if m == n and s1 != s2 and 0 <= t2 - t1 <= 2000:
+                n, first = want.get((m, a, c), (0, t1))
+                want[m, a, c] = (n + 1, min(first, t1))
+    assert bridges(df, 2000).count() == 0
+    assert {(r["mid"], r["from"], r["to"]): (r["n"], r["first"]) for r in bridges(df, 2000, None).collect()} == want
