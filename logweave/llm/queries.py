@@ -32,15 +32,19 @@ def p1_top(spark: SparkSession, folder: str) -> DataFrame:
     return frequent_items(table(spark, folder, "terms"), "v", "n", "term_id", k=100)
 
 
-def p4_members(spark: SparkSession, folder: str) -> DataFrame:
-    """Each record with the first of its group and the number of copies."""
+def _p4_copies(spark: SparkSession, folder: str, counted: bool) -> DataFrame:
     events = table(spark, folder, "event_def").where(suffix_is(".ndjson")).select(F.lit("event_def").alias("tab"), "id", F.col("raw").alias("text"))
     keys = table(spark, folder, "normalized_event").select(F.lit("normalized_event").alias("tab"), F.col("norm_id").alias("id"), F.col("dedup_key").alias("text"))
-    return copies(events.unionByName(keys), "id", "text", "tab").withColumnRenamed("kind", "tab")
+    return copies(events.unionByName(keys), "id", "text", "tab", counted=counted).withColumnRenamed("kind", "tab")
+
+
+def p4_members(spark: SparkSession, folder: str) -> DataFrame:
+    """Each record with the first of its group and the number of copies."""
+    return _p4_copies(spark, folder, True)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p4_members(spark, folder).where("id > first_id").select("tab", "first_id", F.col("id").alias("copy_id"))
+    return _p4_copies(spark, folder, False).select("tab", "first_id", F.col("id").alias("copy_id"))
 
 
 def p4_collapsed(spark: SparkSession, folder: str) -> DataFrame:

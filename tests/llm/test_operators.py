@@ -32,6 +32,14 @@ def brute(rows):
     return out
 
 
+def test_rows_of_one_ident_that_differ(spark):
+    rows = [(1, "a", 5, "", ""), (1, "a", 7, "", ""), (1, "b", 5, "", ""), (1, "a", 5, "", ""), (-(2**63), "a", 1, "", ""), (2**63 - 1, "a", -1, "", ""), (2, "a", 2**40, "", "")]
+    for some in (rows, rows[::-1]):
+        df = items(spark, some).repartition(3, "v", "n")
+        assert {(r["v"], r["total"]) for r in frequent_items(df, "v", "n", "term_id", k=5).collect()} == {("a", 12 + 2**40), ("b", 5)}
+        assert {(r["v"], r["total"]) for r in frequent_items(df, "v", "n", "term_id", share=(9, 10)).collect()} == {("a", 12 + 2**40)}
+
+
 def test_frequent_items(spark):
     rng = random.Random(3)
     rows = [(k, rng.choice(["hot", "hot", "HOT", " hot", "", None, f"v{rng.randint(0, 40)}", f"r{k}"]), rng.choice([1, 2, 3, None, -1, 0]), "clash", "clash") for k in range(3000)]
@@ -77,7 +85,7 @@ def test_structures():
 def test_copies(spark):
     rng = random.Random(5)
     texts = [f'{{"k":"{rng.randint(0, 30)}","v":"{rng.choice("abc")}"}}' for _ in range(400)] + ['{"hot":1}'] * 200 + [None, "", " ", "."]
-    rows = [(k, rng.choice(["e", "n"]), t, "clash", "clash") for k, t in enumerate(texts)]
+    rows = [(k, rng.choice(["e", "n", None]), t, "clash", "clash") for k, t in enumerate(texts)]
     want: dict = defaultdict(list)
     for i, kind, t, *_ in rows:
         if t is not None:
@@ -95,7 +103,8 @@ def test_equal_digests_are_confirmed(spark, monkeypatch):
 
     monkeypatch.setattr(R, "with_digest", lambda rows, text: rows.withColumn("fold", F.struct(F.lit(b"same").cast("binary").alias("digest"), F.lower(text).alias("canon"))))
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "A"), (4, "B"), (5, "c")], "id long, t string")
-    assert {(r["id"], r["first_id"]) for r in R.copies(df, "id", "t").collect()} == {(1, 1), (3, 1), (2, 2), (4, 2), (5, 5)}
+    assert {(r["id"], r["first_id"], r["copies"]) for r in R.copies(df, "id", "t").collect()} == {(1, 1, 2), (3, 1, 2), (2, 2, 2), (4, 2, 2), (5, 5, 1)}
+    assert {(r["id"], r["first_id"]) for r in R.copies(df, "id", "t", counted=False).collect()} == {(3, 1), (4, 2)}
 
 
 def test_long_field_names(spark):
