@@ -1,15 +1,15 @@
 """Delimited records into typed rows, and the records that fail with reason and offset.
 
-A quote-aware finite-state machine reads raw records.  All records of a batch are stepped together, one character column at
-a time, in chunks of columns whose end states are carried into the next chunk.  For a text that is read in independent
-chunks, ``chunk_map`` gives the state after the chunk for every state before it, and ``compose`` chains such maps, so that
-the state at the start of each chunk is known without reading the text in order.
+A quote-aware finite-state machine reads raw records.  The text of a batch, or of a file, is cut into chunks.  The machine's
+transition maps form a small monoid: a chunk's effect is one of its elements, found for all chunks together, one
+character column at a time, without knowing the state before the chunk.  Composing the elements gives the state at the start
+of every chunk, and each chunk is then tokenised from it.  ``load_delimited`` does so for records that stand in rows,
+``file_records`` for files, whose blocks are read by different tasks and whose records may cross blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -18,27 +18,100 @@ from pyspark.sql import functions as F
 
 # States: at a field's start, in a bare field, in a quoted field, after a quote mark within a quoted field, failed.
 START, BARE, QUOTED, AFTER, FAILED = range(5)
-# Character classes: other, delimiter, quote mark, line break, beyond the record's end.
+# Character classes: other, delimiter, quote mark, line break, end of a record that stands in a row of its own.
 OTHER, DELIMITER, QUOTE, BREAK, END = range(5)
-#: The machine: NEXT[state, class].  A record's end closes its last field.
+#: The machine: NEXT[state, class].  The end of a record closes its last field and starts the next record.
 NEXT = np.array(
     [
         [BARE, START, QUOTED, BARE, START],
         [BARE, START, FAILED, BARE, START],
-        [QUOTED, QUOTED, AFTER, QUOTED, FAILED],
+        [QUOTED, QUOTED, AFTER, QUOTED, START],
         [FAILED, START, QUOTED, FAILED, START],
-        [FAILED, FAILED, FAILED, FAILED, FAILED],
+        [FAILED, FAILED, FAILED, FAILED, START],
     ],
     np.int8,
 )
 #: The same machine over a file of records: a bare line break ends a record, and a failed record ends with its line.
 FILE_NEXT = NEXT.copy()
 FILE_NEXT[[START, BARE, AFTER, FAILED], BREAK] = START
-CHUNK = 256
+#: Characters of a chunk within a batch, and characters that are stepped together at most (one record may be longer).
+CHUNK, TOGETHER = 512, 4_000_000
+
+
+class Machine:
+    """A state machine with the monoid of its transition maps: element 0 changes nothing."""
+
+    def __init__(self, following: np.ndarray):
+        self.following = following
+        states, kinds = following.shape
+        maps = [tuple(range(states))]
+        index = {maps[0]: 0}
+        step: list[list[int]] = []
+        for m in maps:  # grows while it is read: every element by every class
+            step.append([])
+            for c in range(kinds):
+                made = tuple(int(following[s, c]) for s in m)
+                if made not in index:
+                    index[made] = len(maps)
+                    maps.append(made)
+                step[-1].append(index[made])
+        self.maps = np.array(maps, np.int8)
+        self.step = np.array(step, np.int16)
+        self.product = np.array([[index[tuple(int(self.maps[b][s]) for s in self.maps[a])] for b in range(len(maps))] for a in range(len(maps))], np.int16)
+
+    def _columns(self, kinds: np.ndarray, chunk: int) -> np.ndarray:
+        """Classes as (place in the chunk, chunk); the last chunk is filled up at its end by class -1."""
+        count = max(1, -(-len(kinds) // chunk))
+        full = np.full(count * chunk, -1, np.int8)
+        full[: len(kinds)] = kinds
+        return np.ascontiguousarray(full.reshape(count, chunk).T)
+
+    def elements(self, kinds: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
+        """The element of each chunk of a text."""
+        columns = self._columns(kinds, chunk)
+        now = np.zeros(columns.shape[1], np.int16)
+        open_ = columns[-1, -1] == -1
+        for column in columns:
+            now[: len(now) - open_] = self.step[now[: len(now) - open_], column[: len(now) - open_]]
+            if open_ and column[-1] >= 0:
+                now[-1] = self.step[now[-1], column[-1]]
+        return now
+
+    def compose(self, elements) -> int:
+        """The element of chunks that follow one another."""
+        out = 0
+        for e in elements:
+            out = int(self.product[out, e])
+        return out
+
+    def starts(self, elements: np.ndarray, state: int = START) -> np.ndarray:
+        """The state at the start of each chunk, if the first starts in ``state``: exclusive products, in as many rounds as their number has bits."""
+        before = np.concatenate([np.zeros(1, np.int16), elements[:-1]])
+        reach = 1
+        while reach < len(before):
+            before[reach:] = self.product[before[:-reach], before[reach:]]
+            reach *= 2
+        return self.maps[before, state]
+
+    def element(self, kinds: np.ndarray) -> int:
+        return self.compose(self.elements(kinds).tolist())
+
+    def states(self, kinds: np.ndarray, state: int = START, chunk: int = CHUNK) -> np.ndarray:
+        """The state after each character: every chunk is stepped from the state that the composed elements give."""
+        columns = self._columns(kinds, chunk)
+        now = self.starts(self.elements(kinds, chunk), state)
+        out = np.empty(columns.shape, np.int8)
+        for j, column in enumerate(columns):
+            now = self.following[now, column]  # class -1 only fills up the end
+            out[j] = now
+        return out.T.ravel()[: len(kinds)]
+
+
+RECORDS, FILE = Machine(NEXT), Machine(FILE_NEXT)
 
 
 def classes(text: str, delimiter: str) -> np.ndarray:
-    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     out = np.zeros(len(codes), np.int8)
     out[codes == 10] = BREAK
     out[codes == 34] = QUOTE
@@ -46,80 +119,42 @@ def classes(text: str, delimiter: str) -> np.ndarray:
     return out
 
 
-def chunk_map(text: str, delimiter: str, machine: np.ndarray = FILE_NEXT) -> np.ndarray:
-    """The state after a chunk of a file for each state before it."""
-    steps = machine[:, classes(text, delimiter)].T
-    while len(steps) > 1:  # pairs of neighbouring maps become one, in as many rounds as the length has bits
-        odd = steps[-1:] if len(steps) % 2 else steps[:0]
-        a, b = steps[0 : len(steps) - len(odd) : 2], steps[1 : len(steps) - len(odd) : 2]
-        steps = np.concatenate([np.take_along_axis(b, a.astype(np.int64), 1), odd])
-    return steps[0] if len(steps) else np.arange(machine.shape[0], dtype=np.int8)
-
-
-def compose(maps: list[np.ndarray]) -> np.ndarray:
-    """The map of chunks that follow one another."""
-    return reduce(lambda a, b: b[a], maps, np.arange(NEXT.shape[0], dtype=np.int8))
-
-
-def chunk_starts(maps: list[np.ndarray]) -> list[int]:
-    """The state in which each chunk of a file starts."""
-    out, state = [], START
-    for m in maps:
-        out.append(state)
-        state = int(m[state])
+def _cells(text: str, borders: list[int]) -> list[str]:
+    out, a = [], 0
+    for b in [*borders, len(text)]:
+        out.append(text[a + 1 : b - 1].replace('""', '"') if text[a : a + 1] == '"' else text[a:b])
+        a = b + 1
     return out
 
 
-def tokenize(texts: list[str], delimiter: str) -> tuple[list[list[str] | None], np.ndarray]:
+def tokenize(texts: list[str], delimiter: str, chunk: int = CHUNK) -> tuple[list[list[str] | None], np.ndarray]:
     """(fields of each record, or None; character offset of the quoting error, or -1)."""
-    n = len(texts)
-    order = sorted(range(n), key=lambda i: len(texts[i]))
-    fields: list[list[str] | None] = [None] * n
-    bad = np.full(n, -1, np.int64)
-    for at in range(0, n, 4096):
-        rows = order[at : at + 4096]
-        lengths = np.array([len(texts[i]) for i in rows])
-        state = np.zeros(len(rows), np.int8)
-        cuts: list[tuple[np.ndarray, np.ndarray]] = []
-        wrong = np.full(len(rows), -1, np.int64)
-        for lo in range(0, int(lengths.max()) + 1, CHUNK):  # records are sorted by length: the longer ones go on
-            live = np.flatnonzero(lengths >= lo)
-            part = [texts[rows[i]][lo : lo + CHUNK] for i in live]
-            width = min(CHUNK, int(lengths.max()) + 1 - lo)
-            block = np.full((len(live), width), END, np.int8)
-            flat = classes("".join(part), delimiter)
-            sizes = np.array([len(p) for p in part])
-            here = np.arange(width)[None, :] < sizes[:, None]
-            block[here] = flat
-            s = state[live]
-            for j in range(width):
-                c = block[:, j]
-                ended = (c == END) & (lengths[live] != lo + j)  # only the first column past the end closes the record
-                t = np.where(ended, s, NEXT[s, c])
-                new = (t == FAILED) & (s != FAILED)
-                if new.any():
-                    wrong[live[new]] = lo + j
-                border = (c == DELIMITER) & (t == START)
-                if border.any():
-                    cuts.append((live[border], np.full(int(border.sum()), lo + j)))
-                s = t
-            state[live] = s
-        if cuts:
-            who, where = np.concatenate([c[0] for c in cuts]), np.concatenate([c[1] for c in cuts])
-            by = np.lexsort((where, who))
-            who, where = who[by], where[by]
-        else:
-            who = where = np.zeros(0, np.int64)
-        bounds = np.searchsorted(who, np.arange(len(rows) + 1))
-        for k, i in enumerate(rows):
-            bad[i] = wrong[k]
-            if state[k] != FAILED:
-                text, out, a = texts[i], [], 0
-                for b in [*where[bounds[k] : bounds[k + 1]].tolist(), len(text)]:
-                    out.append(text[a + 1 : b - 1].replace('""', '"') if text[a : a + 1] == '"' else text[a:b])
-                    a = b + 1
-                fields[i] = out
-    return fields, bad
+    fields: list[list[str] | None] = []
+    wrong: list[int] = []
+    at = 0
+    while at < len(texts):
+        upto, size = at, 0
+        while upto < len(texts) and (upto == at or size + len(texts[upto]) < TOGETHER):
+            size += len(texts[upto]) + 1
+            upto += 1
+        some = texts[at:upto]
+        ends = np.cumsum([len(t) + 1 for t in some]) - 1
+        kinds = classes("\0".join(some) + "\0", delimiter)
+        kinds[ends] = END
+        after = RECORDS.states(kinds, START, chunk)
+        before = np.concatenate([np.array([START], np.int8), after[:-1]])
+        first = np.concatenate([np.zeros(1, np.int64), ends[:-1] + 1])
+        bad = np.full(len(some), -1, np.int64)
+        failed = np.flatnonzero(((after == FAILED) & (before != FAILED)) | ((kinds == END) & (before == QUOTED)))
+        who, where = np.unique(np.searchsorted(ends, failed), return_index=True)
+        bad[who] = failed[where] - first[who]
+        borders = np.flatnonzero((kinds == DELIMITER) & (after == START))
+        bounds = np.searchsorted(borders, np.append(first, ends[-1] + 1)).tolist()
+        for k, t in enumerate(some):
+            fields.append(None if bad[k] >= 0 else _cells(t, (borders[bounds[k] : bounds[k + 1]] - first[k]).tolist()))
+        wrong += bad.tolist()
+        at = upto
+    return fields, np.array(wrong, np.int64)
 
 
 def _real_date(text: str, day_first) -> bool:
@@ -142,39 +177,53 @@ def _real_time(text: str) -> bool:
     return len(text) == 8 and text[2] == text[5] == ":" and all(p.isascii() and p.isdigit() for p in text.split(":")) and len(text.split(":")) == 3 and text < "24" and text[3] < "6" and text[6] < "6"
 
 
-def judge(fields: list[str], columns: int, day_first, levels: frozenset, dates: dict) -> tuple[str | None, int | None]:
+#: The driver's feed: a column's number, from the end if negative, and what its values must be.
+FEED = {0: "date", 1: "time", 2: "level", -1: "digits"}
+
+
+def judge(fields: list[str], columns: int, day_first, levels: frozenset, dates: dict, schema: Mapping[int, str] = FEED) -> tuple[str | None, int | None]:
     """(first reason that holds, number of the field) of a record without quoting errors."""
     if len(fields) != columns:
         return "columns", min(len(fields), columns)
-    key = (fields[0], None if day_first != day_first else day_first)
-    if key not in dates:
-        if len(dates) > 100_000:
-            dates.clear()
-        dates[key] = _real_date(*key)
-    if not dates[key]:
-        return "value", 0
-    if len(fields) > 1 and not _real_time(fields[1]):
-        return "value", 1
-    if len(fields) > 2 and fields[2].lower() not in levels:
-        return "value", 2
-    if fields[-1] and not (fields[-1].isascii() and fields[-1].isdigit()):
-        return "value", len(fields) - 1
+    for k, kind in schema.items():
+        if not -len(fields) <= k < len(fields):
+            continue
+        text = fields[k]
+        if kind == "date":
+            key = (text, None if day_first != day_first else day_first)
+            if key not in dates:
+                if len(dates) > 100_000:
+                    dates.clear()
+                dates[key] = _real_date(*key)
+            good = dates[key]
+        elif kind == "time":
+            good = _real_time(text)
+        elif kind == "level":
+            good = text.lower() in levels
+        elif kind == "digits":
+            good = not text or text.isascii() and text.isdigit()
+        else:
+            raise ValueError(f"unknown kind of value {kind!r}")
+        if not good:
+            return "value", k % len(fields)
     return None, None
 
 
 _SCHEMA = "reason string, error_at long, error_field int, fields array<string>"
 
 
-def load_delimited(rows: DataFrame, origin: DataFrame, levels: dict[str, str], raw: str = "raw", part: str = "part_file", keep_fields: bool = True) -> DataFrame:
+def load_delimited(rows: DataFrame, origin: DataFrame, levels: dict[str, str], raw: str = "raw", part: str = "part_file", keep_fields: bool = True,
+                   schema: Mapping[int, str] = FEED) -> DataFrame:
     """``rows`` with a struct column ``load``: reason, error_at, error_field and fields of each raw record.
 
     reason is null for a valid record, else the first that holds of ``quoting`` (error_at: character offset), ``columns`` and
     ``value`` (error_field: number of the field, from 0); fields holds the unquoted values unless quoting fails.  Header,
-    delimiter and date order come from ``origin`` (a fixed table, one row a file).  A null record counts as empty; a record
+    delimiter and date order come from ``origin`` (a fixed table, one row a file), the kinds of values from ``schema`` (date,
+    time, level or digits by the column's number; other columns take any text).  A null record counts as empty; a record
     of a file without header or delimiter gets the reason ``origin``; repeated rows are judged alike, each for itself.
     """
     known = {r["part_file"]: (r["delimiter"], r["header"], r["day_first"]) for r in origin.collect() if r["delimiter"] and r["header"]}
-    spelled = frozenset(levels)
+    spelled, schema = frozenset(levels), dict(schema)
 
     def load(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         dates: dict = {}
@@ -189,9 +238,134 @@ def load_delimited(rows: DataFrame, origin: DataFrame, levels: dict[str, str], r
                     if f is None:
                         out[i] = ("quoting", b, None, None)
                     else:
-                        reason, where = judge(f, width[files[i]], known[files[i]][2], spelled, dates)
+                        reason, where = judge(f, width[files[i]], known[files[i]][2], spelled, dates, schema)
                         out[i] = (reason, None, where, f if keep_fields else None)
             made = pd.DataFrame(out, columns=["reason", "error_at", "error_field", "fields"])
             yield made.astype({"error_at": "Int64", "error_field": "Int32"})
 
     return rows.withColumn("load", F.pandas_udf(load, _SCHEMA).asNondeterministic()(F.col(raw), F.col(part)))
+
+
+_BLOCK = "part_path string, block long, element int"
+_RECORD = "part_path string, block long, line_no long, place int, raw string, error_at long, cells array<string>"
+
+
+def _block_elements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row a block of a file: the element of its lines that hold a quote mark; the others leave the state at a line's start as it is."""
+    now = element = None
+    for b in batches:
+        out = []
+        for key, some in b.groupby(["part_path", "block", "delimiter"], sort=False, dropna=False):
+            if key != now:
+                if now is not None:
+                    out.append((*now[:2], element))
+                now, element = key, 0
+            element = FILE.compose([element, FILE.element(classes("\n".join(some["line"].tolist()) + "\n", key[2]))])
+        yield pd.DataFrame(out, columns=["part_path", "block", "element"])
+    if now is not None:
+        yield pd.DataFrame([(*now[:2], element)], columns=["part_path", "block", "element"])
+
+
+def _block_starts(blocks: pd.DataFrame) -> pd.DataFrame:
+    """The blocks of one file that start within a quoted field: one narrow row a block is read."""
+    blocks = blocks.sort_values("block")
+    starts = FILE.starts(blocks["element"].to_numpy(np.int16))
+    return blocks[starts == QUOTED][["part_path", "block"]]
+
+
+# A record's place in its block: whole, or the piece that a block starts with, ends with, or consists of.
+WHOLE, HEAD, TAIL, MIDDLE = range(4)
+
+
+def _block_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [x.split()[0] for x in _RECORD.split(", ")]
+    now, held, held_no, state, head, delimiter = None, [], None, START, False, ","
+
+    def close() -> list[tuple]:
+        if now is None or not held:
+            return []
+        return [(now[0], now[1], held_no, MIDDLE if head else TAIL, "\n".join(held), None, None)]
+
+    for b in batches:
+        out: list[tuple] = []
+        for key, some in b.groupby(["part_path", "block"], sort=False, dropna=False):
+            if key != now:
+                out += close()
+                now, held, held_no = key, [], None
+                head = bool(some["inside"].iloc[0])
+                state, delimiter = QUOTED if head else START, some["delimiter"].iloc[0]
+            lines, numbers = some["line"].tolist(), some["line_no"].tolist()
+            kinds = classes("\n".join(lines) + "\n", delimiter)
+            after = FILE.states(kinds, state)
+            state = int(after[-1])
+            ends = np.cumsum([len(x) + 1 for x in lines]) - 1
+            closed = after[ends] == START
+            whole: list[tuple[int, str]] = []
+            for line, no, end in zip(lines, numbers, closed.tolist()):
+                if not held:
+                    held_no = no
+                held.append(line)
+                if end:
+                    if head:
+                        out.append((*now, held_no, HEAD, "\n".join(held), None, None))
+                        head = False
+                    else:
+                        whole.append((held_no, "\n".join(held)))
+                    held = []
+            fields, bad = tokenize([t for _, t in whole], delimiter)
+            out += [(*now, no, WHOLE, t, None if w < 0 else w, f) for (no, t), f, w in zip(whole, fields, bad.tolist())]
+        yield pd.DataFrame(out, columns=names).astype({"error_at": "Int64"})
+    yield pd.DataFrame(close(), columns=names).astype({"error_at": "Int64"})
+
+
+def _join_pieces(pieces: pd.DataFrame) -> pd.DataFrame:
+    """Records of one file that cross blocks; one that never closes ends with the file."""
+    out, held, first = [], [], None
+
+    def close() -> None:
+        fields, bad = tokenize(["\n".join(held)], first["delimiter"])
+        out.append((first["part_path"], first["block"], first["line_no"], WHOLE, "\n".join(held), None if bad[0] < 0 else int(bad[0]), fields[0]))
+
+    for r in pieces.sort_values(["block", "line_no"]).to_dict("records"):
+        if r["place"] == TAIL and held:
+            close()
+            held = []
+        if not held:
+            first = r
+        held.append(r["raw"])
+        if r["place"] == HEAD:
+            close()
+            held = []
+    if held:
+        close()
+    return pd.DataFrame(out, columns=[x.split()[0] for x in _RECORD.split(", ")]).astype({"error_at": "Int64"})
+
+
+def file_records(lines: DataFrame) -> DataFrame:
+    """Records of delimited files: part_path, block, line_no (of the first line), raw, error_at, cells (null where quoting fails).
+
+    lines: part_path, block (start of the file's block that a line was read in), line_no, line and delimiter, in the order of the
+    file within each partition, as a text scan gives them.  Blocks are read by different tasks: each gives one element of the
+    machine's monoid, composed by file to the state in which every block starts.  Line breaks within quotes belong to their
+    field; a quote that never closes ends with its file.  Null delimiters count as commas; empty tables give no rows.
+    """
+    from logweave.operators.joins import sized
+    from logweave.session import cut
+
+    lines = lines.select("part_path", "block", "line_no", F.coalesce("line", F.lit("")).alias("line"), F.coalesce("delimiter", F.lit(",")).alias("delimiter"))
+    marked = lines.where(F.contains("line", F.lit('"'))).select("part_path", "block", "delimiter", "line")
+    blocks = lines.groupBy("part_path", "block").agg(F.lit(0).alias("element")).unionByName(marked.mapInPandas(_block_elements, _BLOCK))
+    blocks = blocks.groupBy("part_path", "block").agg(F.max("element").cast("int").alias("element"))
+    inside = cut(blocks.groupBy("part_path").applyInPandas(_block_starts, "part_path string, block long").withColumn("inside", F.lit(True)))
+    few = sized(inside)
+    told = lines.join(few, ["part_path", "block"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
+    if few is inside:  # joined by shuffle: the order of the file is made again
+        told = told.repartition("part_path", "block").sortWithinPartitions("part_path", "block", "line_no")
+    told = told.select("part_path", "block", "line_no", "line", "delimiter", "inside")
+    read = cut(told.mapInPandas(_block_records, _RECORD))
+    pieces = read.where(F.col("place") != WHOLE)
+    if pieces.isEmpty():
+        return read.drop("place")
+    pieces = pieces.join(lines.groupBy("part_path").agg(F.first("delimiter").alias("delimiter")), "part_path")
+    crossing = pieces.groupBy("part_path").applyInPandas(_join_pieces, _RECORD)
+    return read.where(F.col("place") == WHOLE).unionByName(crossing).drop("place")

@@ -5,7 +5,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from logweave.operators.rejects import FILE_NEXT, START, chunk_map, chunk_starts, classes, compose, load_delimited, tokenize
+from logweave.operators.rejects import FILE, FILE_NEXT, RECORDS, START, classes, file_records, load_delimited, tokenize
 from logweave.sources.readers import DEFAULT_LEVELS
 
 
@@ -56,15 +56,57 @@ def test_long_records_cross_chunks():
 
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet='";a\n', max_size=60), st.integers(1, 9))
-def test_chunk_maps_compose(text, size):
-    chunks = [text[k : k + size] for k in range(0, len(text), size)]
-    maps = [chunk_map(c, ";") for c in chunks]
-    state, starts = START, []
-    for c in chunks:
-        starts.append(state)
-        for x in classes(c, ";"):
-            state = int(FILE_NEXT[state, x])
-    assert chunk_starts(maps) == starts and compose(maps)[START] == state and np.array_equal(compose(maps), chunk_map(text, ";"))
+def test_chunks_compose(text, size):
+    state, after = START, []
+    for x in classes(text, ";"):
+        state = int(FILE_NEXT[state, x])
+        after.append(state)
+    assert FILE.states(classes(text, ";"), START, size).tolist() == after
+    elements = FILE.elements(classes(text, ";"), size)
+    assert FILE.maps[FILE.compose(elements.tolist())][START] == state
+    assert FILE.starts(elements).tolist() == [START, *after[size - 1 :: size]][: len(elements)]
+
+
+def test_monoid():
+    for m in (FILE, RECORDS):
+        assert len(m.maps) < 200 and all((m.maps[m.product[a, b]] == m.maps[b][m.maps[a]]).all() for a in range(len(m.maps)) for b in range(len(m.maps)))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet='";a\n', max_size=40), min_size=1, max_size=5))
+def test_fields_by_any_chunks(texts):
+    want = tokenize(texts, ";", 10_000)
+    for chunk in (1, 3, 17):
+        got = tokenize(texts, ";", chunk)
+        assert got[0] == want[0] and got[1].tolist() == want[1].tolist()
+
+
+def test_records_across_blocks_of_files(spark):
+    """The same records from 1, 3 and 17 blocks, quotes across their borders included, as by Python's reader."""
+    import random
+
+    rng = random.Random(9)
+    files = {}
+    for name in ("a", "b"):
+        out = io.StringIO()
+        rows = [[rng.choice(["x", "", 'say "y"', "two\nlines", "p;q", "three\n\nof;it", "long " * 9]) for _ in range(3)] for _ in range(60)]
+        csv.writer(out, delimiter=";", lineterminator="\n").writerows(rows)
+        files[name] = (out.getvalue().split("\n")[:-1], rows)
+    files["bad"] = (['1;"open', "2;x", "3"], None)
+    for blocks in (1, 3, 17):
+        made = [(name, k * blocks // len(lines), k, x, ";") for name, (lines, _) in files.items() for k, x in enumerate(lines)]
+        parts = {}
+        for r in made:
+            parts.setdefault(r[:2], []).append(r)
+        rdd = spark.sparkContext.parallelize(list(parts.values()), len(parts)).flatMap(lambda p: p)
+        got = file_records(spark.createDataFrame(rdd, "part_path string, block long, line_no long, line string, delimiter string")).collect()
+        for name, (_, rows) in files.items():
+            mine = sorted((r for r in got if r["part_path"] == name), key=lambda r: r["line_no"])
+            if rows:
+                assert [r["cells"] for r in mine] == rows
+            else:
+                assert [(r["raw"], r["cells"]) for r in mine] == [('1;"open\n2;x\n3', None)] and mine[0]["error_at"] == len(mine[0]["raw"])
+    assert file_records(spark.createDataFrame([], "part_path string, block long, line_no long, line string, delimiter string")).count() == 0
 
 
 def test_reasons(spark):
