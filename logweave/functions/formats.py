@@ -87,6 +87,16 @@ def auditd(c: Column) -> dict[str, Column]:
     return out | {"fields": F.when(c.rlike(shape), m), "proctitle": decoded}
 
 
+def labeled(c: Column) -> Column:
+    """Map of a line of ``Label: value`` pairs parted by tabs or ``; ``: names ``label.<name>``, a host also as ``host``."""
+    pairs = F.filter(F.split(c, r"\t+|; +"), lambda x: x.rlike(r"^\s*\p{L}[\p{L}\d _.-]{0,40}:(?:\s|$)"))
+    named = F.transform(pairs, lambda x: F.struct(F.concat(F.lit("label."), F.translate(F.lower(F.trim(F.substring_index(x, ":", 1))), " -", "__")).alias("k"), F.trim(F.regexp_replace(x, r"^[^:]*:", "")).alias("v")))
+    fields = last_wins(named)
+    host = F.try_element_at(fields, F.lit("label.host"))
+    more = F.when(host.isNotNull(), F.map_from_arrays(F.array(F.lit("host")), F.array(F.regexp_extract(host, r"^(\S*)", 1)))).otherwise(F.expr("map()").cast("map<string,string>"))
+    return F.when(F.size(pairs) > 0, F.map_concat(fields, more))
+
+
 def windows_event(c: Column) -> dict[str, Column]:
     """System fields and named data of an exported Windows event."""
     x = lambda path: F.xpath_string(c, F.lit(path))
@@ -104,9 +114,9 @@ def windows_event(c: Column) -> dict[str, Column]:
 # Browsers, tools and systems told from user agents; the first pattern that matches wins.
 AGENT_FAMILIES = (
     ("ferramenta ofensiva", "sqlmap|nikto|nmap|masscan|gobuster|dirbuster|wpscan|hydra|nuclei|ffuf|acunetix|zgrab"),
-    ("robô", r"bot\b|spider|crawl|slurp|robo-"),
-    ("biblioteca", r"curl|wget|python-requests|python-urllib|go-http-client|okhttp|java/|libwww|axios|node-fetch|powershell|-cli/"),
-    ("navegador", r"mozilla/|opera|painelweb"),
+    ("robô", r"bot\b|spider|crawl|slurp"),
+    ("biblioteca", r"curl|wget|python-requests|python-urllib|go-http-client|okhttp|java/|libwww|axios|node-fetch|powershell|^[\w.-]+/[\d.]+$"),
+    ("navegador", r"mozilla/|opera"),
 )
 BROWSERS = (("Edge", "edg(?:e|a|ios)?/"), ("Opera", "opr/|opera"), ("Samsung", "samsungbrowser/"), ("Firefox", "firefox/|fxios/"), ("Chrome", "chrome/|crios/"), ("Safari", "version/[0-9.]+.*safari/"), ("IE", "msie |trident/"))
 SYSTEMS = (("Windows", "windows"), ("Android", "android"), ("iOS", "iphone|ipad|ipod"), ("macOS", "mac os x|macintosh"), ("ChromeOS", "cros "), ("Linux", "linux|x11"))

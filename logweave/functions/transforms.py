@@ -76,6 +76,15 @@ def key_values(c: Column, pair: str = r'([\w.@-]+)=("[^"]*"|\S*)') -> Column:
                        lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["k"]), F.map_from_arrays(F.array(e["k"]), F.array(e["v"]))))
 
 
+def lower_keys(fields: Column) -> Column:
+    """A map with its names in lower case; of names that are then equal the last holds."""
+    entries = F.transform(F.map_entries(fields), lambda e: F.struct(F.lower(e["key"]).alias("k"), e["value"].alias("v")))
+    names = F.transform(entries, lambda e: e["k"])
+    plain = F.size(F.array_distinct(names)) == F.size(names)  # the common case needs no fold
+    folded = F.aggregate(entries, F.expr("map()").cast("map<string,string>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["k"]), F.map_from_arrays(F.array(e["k"]), F.array(e["v"]))))
+    return F.when(plain, F.map_from_entries(entries)).otherwise(folded)
+
+
 def decode_base64(c: Column) -> Column:
     """Text of base64 or base64url, padded or not; null where it is neither."""
     text = F.translate(F.regexp_replace(c, r"[\s=]+", ""), "-_", "+/")

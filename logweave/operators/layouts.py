@@ -1,8 +1,8 @@
 """Routing of log entries to layout parsers by literals.
 
-Every layout names a few literals that its header line must hold.  One Aho-Corasick automaton over all literals finds,
-in a single pass over the line, the layouts that may apply; only their anchored expressions are then tried, in
-priority order, to verify the header and to extract its fields.  A line that no layout accepts is no header: it
+Every layout names groups of literals; its header line holds at least one of each group.  One Aho-Corasick automaton over all
+literals finds, in a single pass over the line, which of them it holds, and so the layouts that may apply; only their anchored
+expressions are then tried, in priority order, to verify the header and to extract its fields.  A line that no layout accepts is no header: it
 belongs to the entry before it.
 """
 
@@ -56,37 +56,49 @@ _HEADERS: dict[str, re.Pattern] = {
     "pairs": re.compile(r'(?:[@\w][\w.@-]*=(?:"(?:[^"\\]|\\.)*"|[^\s"]*)(?:\s+|$)){2,}$'),
     "json": re.compile(r"\{\s*(?:\"|$|\})"),
 }
-# The literals of each layout; a header holds at least one of them.
-ANCHORS: dict[str, tuple[str, ...]] = {
-    "json": ("{",),
-    "syslog5424": (">1 ",),
-    "syslog3164": tuple(f"{m} " for m in MONTHS),
-    "two-line": (" AM ", " PM "),
-    "module-error": ("] [",),
-    "web-error": ("] ",),
-    "access": tuple(f"/{m}/" for m in MONTHS),
-    "threaded": ("] ",),
-    "dashed": (" - ", " | "),
-    "glog": ("] ",),
-    "console": tuple(f"{w}: " for w in CONSOLE_LEVELS),
-    "pairs": ("=",),
+#: The literals of each layout: a header holds at least one of every group.
+ANCHORS: dict[str, tuple[tuple[str, ...], ...]] = {
+    "json": (("{",),),
+    "syslog5424": ((">1 ",),),
+    "syslog3164": (tuple(f"{m} " for m in MONTHS), (": ",)),
+    "two-line": ((" AM ", " PM "), (", ",)),
+    "module-error": (("] [",), (":",)),
+    "web-error": (("] ",), ("#",), ("/",), (": ",)),
+    "access": (tuple(f"/{m}/" for m in MONTHS), ("] ",)),
+    "threaded": (("] ",), (" - ",), (":",)),
+    "dashed": ((" - ", " | "), (":",)),
+    "glog": (("] ",), (".",), (":",)),
+    "console": (tuple(f"{w}: " for w in CONSOLE_LEVELS), ("[",)),
+    "pairs": (("=",),),
 }
 ORDER = tuple(ANCHORS)
+# Layouts that are tried only where files of any program are read: mobile system logs, proxy logs, load balancer logs, and any line
+# that starts with a stamp.
+FAMILIES: dict[str, tuple[tuple[str, ...], ...]] = {"logcat": ((": ",), (".",)), "squid": (("/",), (".",)), "balancer": (("Z ",), (":",)), "stamped": ((":",),)}
+_STAMP = (
+    r"\d{4}[-/.]\d\d[-/.]\d\d[T ]\d\d:\d\d(?::\d\d(?:[.,]\d+)?)?(?:Z|[+-]\d\d:?\d\d)?|\d\d[-/.]\d\d[-/.]\d{4},?[T ]\d\d:\d\d(?::\d\d(?:[.,]\d+)?)?"
+    r"|\d{1,2}[ -/]\w{3}[ -/]\d{4}[: ]\d\d:\d\d:\d\d(?:[.,]\d+)?|(?:[A-Z][a-z]{2},? )?[A-Z][a-z]{2} [ \d]\d \d\d:\d\d:\d\d(?: \d{4})?"
+)
+_HEADERS |= {
+    "logcat": re.compile(r"(?P<mo>\d\d)-(?P<d>\d\d) (?P<t>\d\d:\d\d:\d\d\.\d{3})\s+\d+\s+\d+ (?P<l>[VDIWEFA]) (?P<c>[^:]*?)\s*: (?P<m>.*)", re.S),
+    "squid": re.compile(r"(?P<t>\d{9,10}\.\d{3})\s+\d+ \S+ (?P<m>[A-Z_]+/\d{3} \d+ [A-Z]+ \S+ .*)", re.S),
+    "balancer": re.compile(r"(?:https?|h2|wss?|grpcs?) (?P<t>\d{4}-\d\d-\d\dT[\d:.]+Z) (?P<c>\S+) (?P<m>.*)", re.S),
+    "stamped": re.compile(rf"[\[(<]?(?P<t>{_STAMP})[\])>]?[\s:|,;-]*(?P<m>.*)", re.S),
+}
 _LEVEL_HEAD = re.compile(r"\[(?P<a>[^\W\d_]+)\][ :]|(?P<b>[^\W\d_]+)(?:: | - )")
 _SECOND = re.compile(r"\s*(?P<l>[^\W\d_]+): (?P<m>.*)", re.S)
 
 
-@lru_cache(maxsize=1)
-def automaton() -> ahocorasick.Automaton:
-    by_literal: dict[str, int] = {}
-    for k, name in enumerate(ORDER):
-        for literal in ANCHORS[name]:
-            by_literal[literal] = by_literal.get(literal, 0) | 1 << k
+@lru_cache(maxsize=2)
+def automaton(generic: bool = False) -> tuple[ahocorasick.Automaton, dict[str, int]]:
+    """(automaton whose values are the literals' bits, bit of each literal)."""
+    groups = [g for groups in (ANCHORS | (FAMILIES if generic else {})).values() for g in groups]
+    bits = {literal: 1 << k for k, literal in enumerate(dict.fromkeys(x for g in groups for x in g))}
     a = ahocorasick.Automaton()
-    for literal, mask in by_literal.items():
-        a.add_word(literal, mask)
+    for literal, bit in bits.items():
+        a.add_word(literal, bit)
     a.make_automaton()
-    return a
+    return a, bits
 
 
 def _text(v) -> str | None:
@@ -111,23 +123,24 @@ _JSON = json.JSONDecoder(strict=False, parse_float=str, parse_int=str)
 class Router:
     """Parses entries.  levels: lower-case spellings that count as a level."""
 
-    def __init__(self, levels):
+    def __init__(self, levels, generic: bool = False):
         self.levels = frozenset(levels)
-        self.automaton = automaton()
+        self.automaton, bits = automaton(generic)
+        layouts = ANCHORS | (FAMILIES if generic else {})
+        #: For each layout the bits of its groups of literals; for each set of literals the layouts that it allows.
+        self.needs = [(name, [sum(bits[x] for x in g) for g in groups], getattr(self, "_" + name.replace("-", "_"))) for name, groups in layouts.items()]
+        self.routes: dict[int, tuple] = {}
 
     def header(self, line: str) -> Parsed | None:
         """The fields of a header line, or None for a line that continues an entry."""
         seen = 0
-        for _, mask in self.automaton.iter(line):
-            seen |= mask
-        k = 0
-        while seen:
-            if seen & 1:
-                name = ORDER[k]
-                if (m := _HEADERS[name].match(line)) and (found := getattr(self, "_" + name.replace("-", "_"))(m, line)):
-                    return found
-            seen >>= 1
-            k += 1
+        for _, bit in self.automaton.iter(line):
+            seen |= bit
+        if (route := self.routes.get(seen)) is None:
+            route = self.routes[seen] = tuple((_HEADERS[name].match, read) for name, groups, read in self.needs if all(seen & g for g in groups))
+        for match, read in route:
+            if (m := match(line)) and (found := read(m, line)):
+                return found
         return None
 
     def entry(self, text: str) -> Parsed | None:
@@ -203,6 +216,23 @@ class Router:
             return Parsed("json", need="json")
         return found
 
+    def _logcat(self, m, _):
+        return Parsed("logcat", f"{m['mo']}{m['d']} {m['t']}", {"V": "trace", "A": "fatal", "F": "fatal"}.get(m["l"], m["l"]), m["c"], m["m"])
+
+    def _squid(self, m, _):
+        return Parsed("squid", m["t"], None, "", m["m"])
+
+    def _balancer(self, m, _):
+        return Parsed("balancer", m["t"], None, m["c"], m["m"])
+
+    def _stamped(self, m, _):
+        """Any line that starts with a stamp: the first level among its first words, the name before the first colon."""
+        words = m["m"].split(None, 6)[:6]
+        level = next((w for w in (x.strip("[]<>():|,;-") for x in words) if len(w) > 1 and w.lower() in self.levels), None)
+        named = re.search(r"(?:^|\s)([A-Za-z][\w.$/-]+)(?:\[\d+\])?: ", m["m"][:120])
+        component = named[1] if named and named[1].lower() not in self.levels else ""
+        return Parsed("stamped", m["t"], level, component, m["m"])
+
     def _record(self, text: str) -> Parsed | None:
         try:
             record, end = _JSON.raw_decode(text.lstrip())

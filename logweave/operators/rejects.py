@@ -279,7 +279,7 @@ WHOLE, HEAD, TAIL, MIDDLE = range(4)
 
 def _block_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [x.split()[0] for x in _RECORD.split(", ")]
-    now, held, held_no, state, head, delimiter = None, [], None, START, False, ","
+    now, held, held_no, low, state, head, delimiter = None, [], None, 0, START, False, ","
 
     def close() -> list[tuple]:
         if now is None or not held:
@@ -291,10 +291,10 @@ def _block_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for key, some in b.groupby(["part_path", "block"], sort=False, dropna=False):
             if key != now:
                 out += close()
-                now, held, held_no = key, [], None
+                now, held, held_no, low = key, [], None, int(some["line_no"].iloc[0]) - int(key[1])
                 head = bool(some["inside"].iloc[0])
                 state, delimiter = QUOTED if head else START, some["delimiter"].iloc[0]
-            lines, numbers = some["line"].tolist(), some["line_no"].tolist()
+            lines, numbers = some["line"].tolist(), (some["line_no"] - low).tolist()
             kinds = classes("\n".join(lines) + "\n", delimiter)
             after = FILE.states(kinds, state)
             state = int(after[-1])
@@ -342,7 +342,7 @@ def _join_pieces(pieces: pd.DataFrame) -> pd.DataFrame:
 
 
 def file_records(lines: DataFrame) -> DataFrame:
-    """Records of delimited files: part_path, block, line_no (of the first line), raw, error_at, cells (null where quoting fails).
+    """Records of delimited files: part_path, block, line_no (the block's start plus the place of the record's first line in it), raw, error_at, cells (null where quoting fails).
 
     lines: part_path, block (start of the file's block that a line was read in), line_no, line and delimiter, in the order of the
     file within each partition, as a text scan gives them.  Blocks are read by different tasks: each gives one element of the

@@ -8,8 +8,10 @@ import re
 
 from logweave.operators.layouts import Router
 
-FORMATS = ("auto", "jsonl", "json", "csv", "csv-semicolon", "tsv", "csv-pipe", "w3c", "zeek", "cef", "leef", "firewall", "auditd", "xml", "xlsx", "zip", "gzip", "mixed", "text")
+FORMATS = ("auto", "jsonl", "json", "csv", "csv-semicolon", "tsv", "csv-pipe", "w3c", "zeek", "cef", "leef", "firewall", "auditd", "xml", "xlsx", "zip", "tar", "gzip", "bzip2", "xz", "zstd", "logfmt", "labeled", "mixed", "text")
 _COMPRESSED = ((b"\x1f\x8b", "gzip"), (b"PK\x03\x04", "zip"), (b"BZh", "bzip2"), (b"\xfd7zXZ\0", "xz"), (b"\x28\xb5\x2f\xfd", "zstd"))
+#: A byte between letters, written as in ISO 8859-1, that is a letter in CP850 and hardly stands there in cp1252.
+CP850 = "[A-Za-z][\u0081-\u0084\u0087-\u008d\u00a1-\u00a4][a-z\u0080-\u00a5\u00c6\u00e4]"
 
 
 def decode(data: bytes) -> str:
@@ -22,13 +24,17 @@ def decode(data: bytes) -> str:
     except UnicodeDecodeError as e:
         if e.reason == "unexpected end of data" and len(data) >= 4096:  # a character cut off at the end of the sample
             return data[: e.start].decode("utf-8")
-        return data.decode("cp1252", "replace")
+        pass
+    text = data.decode("latin-1")
+    return data.decode("cp850" if re.search(CP850, text) else "cp1252", "replace")
 
 
 def detect(data: bytes, levels=("error", "warn", "info", "debug")) -> str:
     for mark, name in _COMPRESSED:
         if data.startswith(mark):
             return "xlsx" if name == "zip" and b"xl/" in data else name
+    if data[257:262] == b"ustar":
+        return "tar"
     text = decode(data)
     lines = [x for x in text.splitlines() if x.strip()][:50]
     if not lines:
@@ -56,11 +62,17 @@ def detect(data: bytes, levels=("error", "warn", "info", "debug")) -> str:
         router = Router(levels)
         if router.header(lines[0]) is None or text.lstrip()[0] == "[" or re.match(r'\s*\{\s*"(?:Records|value|events|data|hits|logs|items)"\s*:', text):
             return "json"
-    router = Router(levels)
-    if sum(router.header(x) is not None for x in lines) >= max(1, len(lines) / 4):
-        return "mixed"
+    router = Router(levels, generic=True)
+    found = [router.header(x) for x in lines]
+    if sum(f is not None for f in found) >= max(1, len(lines) / 4):
+        return "logfmt" if all(f is not None and f.layout == "pairs" for f in found) else "mixed"
+    labels = sum(len(re.findall(r"(?:^|\t|; )\s*[^\W\d_][\w .-]{0,40}:(?=\s)", x)) > 1 for x in lines)
+    if labels > len(lines) / 2:
+        return "labeled"
     for mark, name in ((";", "csv-semicolon"), ("\t", "tsv"), ("|", "csv-pipe"), (",", "csv")):
-        counts = [len(r) for r in csv.reader(lines, delimiter=mark)]
-        if counts and counts[0] > 1 and sum(c == counts[0] for c in counts) > 0.8 * len(counts):
+        widths = [len(r) for r in csv.reader(lines, delimiter=mark)]
+        usual = max(set(widths), key=lambda w: (widths.count(w), w))
+        before = widths.index(usual)  # lines of a preamble
+        if usual > 1 and (before == 0 or before <= 5 and usual > 2) and widths.count(usual) > 0.8 * (len(widths) - before):
             return name
     return "text"

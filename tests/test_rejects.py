@@ -94,7 +94,8 @@ def test_records_across_blocks_of_files(spark):
         files[name] = (out.getvalue().split("\n")[:-1], rows)
     files["bad"] = (['1;"open', "2;x", "3"], None)
     for blocks in (1, 3, 17):
-        made = [(name, k * blocks // len(lines), k, x, ";") for name, (lines, _) in files.items() for k, x in enumerate(lines)]
+        # a block is named by its first line here, by its first byte in files
+        made = [(name, -(-(k * blocks // len(lines)) * len(lines) // blocks), k, x, ";") for name, (lines, _) in files.items() for k, x in enumerate(lines)]
         parts = {}
         for r in made:
             parts.setdefault(r[:2], []).append(r)
