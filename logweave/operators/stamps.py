@@ -1,25 +1,26 @@
 """Timestamps of any written form into epoch milliseconds, UTC.
 
-Texts become shape masks (digits and letters as classes); each distinct mask of a batch is mapped to a layout once, and all
-texts of the mask are extracted and converted column-wise.  Wall times become instants through transition tables of the
-zones: a wall time that occurs twice is its earlier instant, a skipped one moves on by the skipped span, which both
+Texts become shape masks (digits and letters as classes); each distinct mask is mapped once to the layouts that it can fit, mostly
+one, and all texts of the mask are extracted and converted column-wise.  Wall times become instants through the transition tables of
+``zones``: a wall time that occurs twice is its earlier instant, a skipped one moves on by the skipped span, which both
 follow from holding the offset before a transition until the later of the two wall clocks has passed it.
 """
 
 from __future__ import annotations
 
-import datetime as dt
+import re
 from collections.abc import Iterator
 from functools import lru_cache
-from zoneinfo import ZoneInfo
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from logweave.operators.zones import Zones, edition, local
+
 # Month names in English, Portuguese, Spanish, German, French and Italian.
 MONTH_NAMES = (
     "jan january janeiro ene enero januar janvier gennaio gen jän",
@@ -66,61 +67,23 @@ _ANCHORED = tuple(rf"^{x}$" for x in LAYOUTS)
 _MISSING = np.iinfo(np.int64).min
 
 
-@lru_cache(maxsize=1)
-def zone_version() -> str:
-    """Version of the zone data that the transition tables come from."""
-    from zoneinfo import TZPATH
-
-    try:
-        import tzdata
-
-        return tzdata.IANA_VERSION
-    except ImportError:
-        for folder in TZPATH:
-            for name in ("tzdata.zi", "+VERSION"):
-                try:
-                    with open(f"{folder}/{name}") as f:
-                        return f.readline().replace("# version", "").strip()
-                except OSError:
-                    continue
-    return "unknown"
-
+def _on_masks(layout: str) -> str:
+    """A layout as an expression over masks, where a digit is 9 and a run of letters is a: all texts that fit the layout have masks that fit it."""
+    for text, mask in (
+        (r"\p{L}+", "a"), (r"[AaPp]\.?[Mm]\.?", r"a\.?(?:a\.?)?"), ("[Zz]", "a"), ("[A-Z]{2,5}", "a"), (r"[A-Za-z_]+(?:/[A-Za-z0-9_+-]+)*", r"[a_]+(?:/[a9_+-]+)*"),
+        (r"(?:de\s+)?", r"(?:a\s+)?"), ("[T ,]", "[a ,]"), ("[T ]", "[a ]"), (r"\d", "9"),
+    ):
+        layout = layout.replace(text, mask)
+    return layout
 
-@lru_cache(maxsize=1024)
-def transitions(zone: str, since: int = 1960, until: int = 2100) -> tuple[np.ndarray, np.ndarray] | None:
-    """(wall seconds from which each offset holds, offsets in seconds) of a zone, or None where it is unknown."""
-    try:
-        z = ZoneInfo(zone)
-    except Exception:
-        return None
-    base = dt.datetime(1970, 1, 1, tzinfo=dt.UTC)
 
-    def at(second: int) -> int:
-        return int((base + dt.timedelta(seconds=second)).astimezone(z).utcoffset().total_seconds())
+_MASKED = tuple(re.compile(_on_masks(x)) for x in LAYOUTS)
 
-    step, lo = 5 * 86400, int((dt.datetime(since, 1, 1, tzinfo=dt.UTC) - base).total_seconds())
-    end, before = int((dt.datetime(until, 1, 1, tzinfo=dt.UTC) - base).total_seconds()), at(lo)
-    walls, offsets = [_MISSING], [before]
-    while lo < end:
-        hi = lo + step
-        if (after := at(hi)) != before:
-            a, b = lo, hi
-            while b - a > 1:
-                c = (a + b) // 2
-                a, b = (a, c) if at(c) != before else (c, b)
-            after = at(b)
-            walls.append(b + max(before, after))
-            offsets.append(after)
-            before, hi = after, b
-        lo = hi
-    return np.array(walls, np.int64), np.array(offsets, np.int64)
 
-
-def wall_to_utc(wall: np.ndarray, zone: str) -> np.ndarray | None:
-    """UTC seconds of wall-clock seconds in a zone; None where the zone is unknown."""
-    if (t := transitions(zone)) is None:
-        return None
-    return wall - t[1][np.searchsorted(t[0], wall, "right") - 1]
+@lru_cache(maxsize=100_000)
+def layouts_of(mask: str) -> tuple[int, ...]:
+    """The layouts that texts of a mask can fit, in the order in which they are tried."""
+    return tuple(k for k, pattern in enumerate(_MASKED) if pattern.fullmatch(mask))
 
 
 def epoch_to_ms(value: Column) -> Column:
@@ -130,22 +93,13 @@ def epoch_to_ms(value: Column) -> Column:
     return F.when(v != 0, ms.otherwise(F.floor(v / F.lit(1000000).cast("decimal(20,0)")).cast("long")))
 
 
-@lru_cache(maxsize=100_000)
-def _layout_of(mask: str, sample: str) -> int:
-    one = pa.array([sample])
-    for k, pattern in enumerate(_ANCHORED):
-        if pc.match_substring_regex(one, pattern)[0].as_py():
-            return k
-    return -1
-
-
 def _ints(groups: dict, name: str, n: int, default: int = 0) -> np.ndarray:
     if name not in groups:
         return np.full(n, default, np.int64)
     return pc.cast(pc.if_else(pc.equal(groups[name], ""), str(default), groups[name]), pa.int64()).to_numpy(zero_copy_only=False)
 
 
-def _convert(texts: pa.Array, k: int, zone: np.ndarray, year: np.ndarray, date: np.ndarray, day_first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _convert(texts: pa.Array, k: int, zone: np.ndarray, year: np.ndarray, date: np.ndarray, day_first: np.ndarray, zones: Zones) -> tuple[np.ndarray, np.ndarray]:
     """(milliseconds, extracted or not) of texts in layout k; _MISSING names no real time."""
     got = pc.extract_regex(texts, _ANCHORED[k])
     fits = pc.is_valid(got).to_numpy(zero_copy_only=False)
@@ -208,7 +162,7 @@ def _convert(texts: pa.Array, k: int, zone: np.ndarray, year: np.ndarray, date:
             here = pc.equal(g["abbr"], text).to_numpy(zero_copy_only=False) & (fixed == _MISSING)
             if text in ABBREVIATIONS:
                 fixed[here] = ABBREVIATIONS[text] * 60
-            elif transitions(text) is not None:
+            elif zones.get(text) is not None:
                 region[here] = text
             else:
                 good[here] = False
@@ -219,17 +173,17 @@ def _convert(texts: pa.Array, k: int, zone: np.ndarray, year: np.ndarray, date:
     open_ = fixed == _MISSING
     for z in set(region[open_].tolist()):
         here = open_ & (region == z)
-        found = wall_to_utc(wall[here], z or "UTC")
-        if found is None:
+        if (table := zones.get(z or "UTC")) is None:
             good[here] = False
         else:
-            utc[here] = found
+            utc[here] = table.to_utc(wall[here])
     out[rows] = np.where(good, utc * 1000 + milli, _MISSING)
     return out, fits
 
 
-def instants(texts: pd.Series, zone: pd.Series, year: pd.Series, date: pd.Series, day_first: pd.Series) -> pd.Series:
+def instants(texts: pd.Series, zone: pd.Series, year: pd.Series, date: pd.Series, day_first: pd.Series, zones: Zones | None = None) -> pd.Series:
     """Epoch milliseconds of a batch of written stamps; null where a text names no real date and time."""
+    zones = zones or local()
     t = pc.utf8_trim_whitespace(pc.fill_null(pa.array(texts, pa.string(), from_pandas=True), ""))
     masks = pc.replace_substring_regex(pc.replace_substring_regex(t, r"\d", "9"), r"\p{L}+", "a").dictionary_encode()
     codes, shapes = masks.indices.to_numpy(), masks.dictionary.to_pylist()
@@ -238,30 +192,46 @@ def instants(texts: pd.Series, zone: pd.Series, year: pd.Series, date: pd.Series
     d = pd.to_datetime(date, errors="coerce").to_numpy("datetime64[ns]")
     df = day_first.map({True: 1, False: 0}).fillna(-1).to_numpy(np.int64)
     out = np.full(len(texts), _MISSING, np.int64)
+    order = np.argsort(codes, kind="stable")
+    bounds = np.searchsorted(codes[order], np.arange(len(shapes) + 1))
     for code, mask in enumerate(shapes):
-        rows = np.flatnonzero(codes == code)
-        k = _layout_of(mask, t[int(rows[0])].as_py())
-        left = rows
-        for j in ([k] if k >= 0 else []) + [x for x in range(len(LAYOUTS)) if x != k]:
-            if not len(left) or "9" not in mask:
+        left = order[bounds[code] : bounds[code + 1]]
+        for k in layouts_of(mask):
+            if not len(left):
                 break
-            ms, fits = _convert(t.take(pa.array(left)), j, z[left], y[left], d[left], df[left])
+            ms, fits = _convert(t.take(pa.array(left)), k, z[left], y[left], d[left], df[left], zones)
             out[left[fits]] = ms[fits]
             left = left[~fits]
     return pd.Series(out).mask(out == _MISSING).astype("Int64")
 
 
+def _sent_zones():
+    """The zone data of this session's context, sent to its executors once."""
+    context = SparkSession.active().sparkContext
+    if not hasattr(context, "_logweave_zones"):
+        context._logweave_zones = context.broadcast(edition()[1])
+    return context._logweave_zones
+
+
+@lru_cache(maxsize=2)
+def _unpacked(packed: bytes) -> Zones:
+    return Zones(packed)
+
+
 def to_epoch_ms(text: str, zone: str, year: str, date: str, day_first: str) -> Column:
     """Column of epoch milliseconds of the stamps in column ``text``.
 
     zone, year, date and day_first name the columns that hold the file's zone (null: UTC), the year of dates without one, the
     date of times without one, and the order of numeric day and month (null: day first).  Finer digits are cut off; a date
     alone means 00:00; a written offset beats an abbreviation, an abbreviation a region name, a region name the file's zone.
-    Null, empty and impossible stamps give null.
+    Null, empty and impossible stamps give null.  The edition of the zone data stands in the column's metadata as ``zone_version``.
     """
+    sent = _sent_zones()
 
     def convert(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        zones = _unpacked(sent.value)
         for b in batches:
-            yield instants(*b)
+            yield instants(*b, zones=zones)
 
-    return F.pandas_udf(convert, "long").asNondeterministic()(*(F.col(c) for c in (text, zone, year, date, day_first)))
+    made = F.pandas_udf(convert, "long").asNondeterministic()(*(F.col(c) for c in (text, zone, year, date, day_first)))
+    return made.alias("epoch_ms", metadata={"zone_version": edition()[0]})

@@ -7,7 +7,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from logweave.operators.stamps import epoch_to_ms, instants, to_epoch_ms, transitions, zone_version
+from logweave.operators import zones
+from logweave.operators.stamps import LAYOUTS, epoch_to_ms, instants, layouts_of, to_epoch_ms
 
 
 def ms(*texts, zone="Europe/Madrid", year=2024, date="2024-10-27", day_first=True):
@@ -59,12 +60,38 @@ def test_against_the_standard_library(wall, zone):
 
 
 def test_tables_are_versioned():
-    assert zone_version() and transitions("No/Where") is None and len(transitions("UTC")[0]) == 1
+    version, packed = zones.edition()
+    z = zones.Zones(packed)
+    assert version and z.get("No/Where") is None and z.get("../UTC") is None and len(z.get("UTC").walls) <= 2
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.datetimes(dt.datetime(1850, 1, 1), dt.datetime(2700, 1, 1)).map(lambda x: x.replace(microsecond=0)), st.sampled_from(["Europe/Berlin", "America/Sao_Paulo", "Asia/Kolkata", "Australia/Lord_Howe", "Europe/Dublin", "Africa/Casablanca", "America/Santiago", "Pacific/Apia"]))
+def test_instants_of_any_year(wall, zone):
+    assert ms(wall.strftime("%Y-%m-%d %H:%M:%S"), zone=zone) == [round(wall.replace(tzinfo=ZoneInfo(zone), fold=0).timestamp() * 1000)]
+
+
+@pytest.mark.parametrize("zone, text", [("America/Sao_Paulo", "1932-01-15 12:00:00"), ("Europe/Berlin", "1945-06-15 12:00:00"), ("Europe/Berlin", "2105-07-01 12:00:00"), ("Europe/Lisbon", "1900-01-01 00:00:00"), ("America/New_York", "2150-07-04 00:00:00")])
+def test_beyond_the_usual_years(zone, text):
+    assert ms(text, zone=zone) == [round(dt.datetime.fromisoformat(text).replace(tzinfo=ZoneInfo(zone)).timestamp() * 1000)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.from_regex(r"(?:\d{1,2}[-/. ]){1,2}(?:\d{4}|[A-Za-z]{1,4})[ T,]{0,2}\d{1,2}:\d\d(?::\d\d)?(?: ?[AP]M)?(?:Z| UTC|\+01:00)?", fullmatch=True), min_size=1, max_size=5))
+def test_masks_hold_all_layouts_of_their_texts(texts):
+    """The layouts of a mask are those of any of its texts, whichever comes first."""
+    import regex
+
+    for t in texts:
+        mask = regex.sub(r"\p{L}+", "a", regex.sub(r"\d", "9", t.strip()))
+        assert {k for k, p in enumerate(LAYOUTS) if regex.fullmatch(p, t.strip())} <= set(layouts_of(mask))
+    assert ms(*texts) == [ms(t)[0] for t in texts]
 
 
 def test_columns(spark):
     df = spark.createDataFrame([("2024-01-02 00:00:00", "UTC", 2024, None, True), (None, None, None, None, None)], "t string, z string, y int, d string, f boolean")
     assert [r[0] for r in df.select(to_epoch_ms("t", "z", "y", "d", "f")).collect()] == [1704153600000, None]
     assert df.limit(0).select(to_epoch_ms("t", "z", "y", "d", "f")).count() == 0
+    assert df.withColumn("x", to_epoch_ms("t", "z", "y", "d", "f")).schema["x"].metadata["zone_version"] == zones.edition()[0]
     e = spark.createDataFrame([(0,), (None,), (1735693000,), (1735693000123,), (1735693000123999,), (1735693000123999999,), (-5,)], "v long")
     assert [r[0] for r in e.select(epoch_to_ms(F.col("v"))).collect()] == [None, None, 1735693000000, 1735693000123, 1735693000123, 1735693000123, -5000]
