@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions import formats
 from logweave.functions.net import ip_scope, ipv4_number
+from logweave.functions.transforms import lower_keys
 
 # Field names of each role, the most trusted first.
 ALIASES = {
@@ -44,14 +45,9 @@ FAILURES = r"(?i)fail|denied|refused|invalid|unauthori[sz]ed|forbidden|blocked|e
 SUCCESSES = r"(?i)success|accepted|allowed|granted|opened|\bok\b|concedid|sucesso|aceit"
 
 
-def _lower_map(fields: Column) -> Column:
-    return F.map_from_entries(F.transform(F.array_distinct(F.transform(F.map_keys(fields), lambda k: F.lower(k))),
-        lambda k: F.struct(k.alias("key"), F.element_at(F.map_values(F.map_filter(fields, lambda n, _: F.lower(n) == k)), 1).alias("value"))))
-
-
 def with_roles(events: DataFrame) -> DataFrame:
     """Events with a struct column ``roles``: a literal field ``@role`` wins, then the role's names in order of trust, then what the message shows."""
-    rows = events.withColumn("__low", _lower_map(F.coalesce("fields", F.expr("map()").cast("map<string,string>"))))
+    rows = events.withColumn("__low", lower_keys(F.coalesce("fields", F.expr("map()").cast("map<string,string>"))))
     get = lambda names: F.coalesce(*[F.nullif(F.trim(F.try_element_at("__low", F.lit(n.lower()))), F.lit("")) for n in names])
     m = F.coalesce("message", F.lit(""))
     found = lambda pattern: F.nullif(F.regexp_extract(m, pattern, 1), F.lit(""))
@@ -79,7 +75,21 @@ def with_roles(events: DataFrame) -> DataFrame:
 
 # What marks attacks in requests.
 WEB_ATTACK = r"(?i)(?:\.\./){2}|%2e%2e%2f|union(?:\s|\+|%20)+select|<script|%3cscript|/etc/passwd|\bor\b\s*['\"]?1['\"]?\s*=\s*['\"]?1|\$\{jndi:|;\s*(?:cat|wget|curl)\b|cmd\.exe|xp_cmdshell"
-REVERSE_SHELL = r"(?i)(?:bash|sh)\b.*(?:/dev/tcp/|/dev/udp/)|\b(?:nc|ncat)\b.*\s-[ec]\s+(?:cmd|/bin/(?:ba)?sh)|socat\b.*exec:"
+#: Words that stand together in commands that hand a shell to a remote machine: a socket of the shell itself, a pipe to a network tool,
+#: or an interpreter that opens a socket and gives it to a process.
+SHELL_WORDS = (("/dev/tcp/", ">&"), ("/dev/udp/", ">&"), ("mkfifo", "nc "), ("socket", "dup2"), ("socket", "subprocess"), ("pty.spawn(",), ("fsockopen(", "exec"), ("tcpsocket", "popen"))
+#: Folders into which web applications let users write.
+WRITABLE = ("upload", "uploads", "userfiles", "usercontent", "wp-content", "incoming", "tmp")
+
+
+def hands_out_shell(text: Column) -> Column:
+    low, out = F.lower(text), F.lit(False)
+    for words in SHELL_WORDS:
+        both = F.lit(True)
+        for w in words:
+            both = both & F.contains(low, F.lit(w))
+        out = out | both
+    return out
 
 
 def with_security(events: DataFrame) -> DataFrame:
@@ -91,9 +101,9 @@ def with_security(events: DataFrame) -> DataFrame:
     status = r("status").try_cast("int")
     parts = {
         "action": r("action"), "outcome": r("outcome"), "host": r("host"), "identity": F.lower(r("user")), "source_address": r("src_ip"), "process": r("process"), "command": r("cmdline"), "resource": F.coalesce(r("file"), F.nullif(path, F.lit(""))),
-        "url.path": F.nullif(path, F.lit("")), "http.status_class": F.when(status.isNotNull(), F.concat(F.floor(status / 100).cast("string"), F.lit("xx"))), "http.method": F.nullif(F.regexp_extract(F.coalesce(r("url"), F.col("message")), r"\b(GET|POST|PUT|DELETE|HEAD|PATCH|OPTIONS)\b", 1), F.lit("")),
+        "url.path": F.nullif(path, F.lit("")), "http.status": status.cast("string"), "http.status_class": F.when(status.isNotNull(), F.concat(F.floor(status / 100).cast("string"), F.lit("xx"))), "http.method": F.nullif(F.regexp_extract(F.coalesce(r("url"), F.col("message")), r"\b(GET|POST|PUT|DELETE|HEAD|PATCH|OPTIONS)\b", 1), F.lit("")),
         "web.attack": F.when(url.rlike(WEB_ATTACK) | F.coalesce(F.try_url_decode(url), F.lit("")).rlike(WEB_ATTACK), "true"), "web.script": F.when(path.rlike(r"(?i)\.(?:php\d?|phtml|aspx?|jspx?|cgi|cfm)$"), "true"),
-        "web.upload_dir": F.when(path.rlike(r"(?i)/(?:upload|attach|import|media|avatar|file|image)s?/"), "true"), "reverse_shell": F.when(F.coalesce(r("cmdline"), F.col("message")).rlike(REVERSE_SHELL), "true"), "source_public": F.when(ipv4_number(r("src_ip")).isNotNull() & (r("src_scope") == "público"), "true"),
+        "web.upload_dir": F.when(F.arrays_overlap(F.split(F.lower(path), "/"), F.array(*map(F.lit, WRITABLE))), "true"), "reverse_shell": F.when(hands_out_shell(F.coalesce(r("cmdline"), F.col("message"))), "true"), "source_public": F.when(ipv4_number(r("src_ip")).isNotNull() & (r("src_scope") == "público"), "true"),
     }
     return rows.withColumn("_sec", F.map_filter(F.create_map(*[x for k, v in parts.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull()))
 

