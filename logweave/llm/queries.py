@@ -81,7 +81,7 @@ def p9_pack(spark: SparkSession, folder: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "documents").where("text is not null").select("doc_id", "text")
-    scored = stuffed_pages.with_share(pages, "text", stuffed_pages.fit(pages, "text"))
+    scored = stuffed_pages.with_share(pages, "text")
     return scored.where(F.col("non_prose") > STUFFED).select("doc_id")
 
 

@@ -3,6 +3,8 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from hypothesis import given, settings
@@ -222,11 +224,11 @@ def test_pattern_is_the_public_one():
     assert PATTERN == pytest.importorskip("public_tokenizers").PATTERN
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(max_size=60), max_size=8))
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.text(max_size=60) | st.text(alphabet="a bB'\n\t.\u00a0\u3000\x1f\x85é9", max_size=25), max_size=8))
 def test_ids_are_the_library_s(encoders, texts):
     own, library = encoders
-    assert own.encode_batch(texts) == [library.encode_ordinary(t) for t in texts]
+    assert own.encode_batch(texts).to_pylist() == [library.encode_ordinary(t) for t in texts]
 
 
 def test_ids_of_long_words_and_small_caches(encoders, monkeypatch):
@@ -235,10 +237,10 @@ def test_ids_of_long_words_and_small_caches(encoders, monkeypatch):
     own, library = encoders
     texts = ["a" * 5000, "ab" * 4000, " " * 3000, "漢字" * 900, "🔧" * 700, "x1" * 2000, "<|endoftext|>", None, "", "don't 'S 'll"] + [f"word{k} é{k}" for k in range(400)]
     want = [library.encode_ordinary(t) if t else [] for t in texts]
-    assert own.encode_batch(texts) == want
+    assert own.encode_batch(texts).to_pylist() == want and own.count_batch(texts).to_pylist() == [len(x) for x in want]
     monkeypatch.setattr(T, "CACHE", 20)
     small = Encoder(own.ranks)
-    assert [small.encode_batch(texts[k : k + 30]) for k in range(0, len(texts), 30)] == [want[k : k + 30] for k in range(0, len(want), 30)]
+    assert [small.encode_batch(texts[k : k + 30]).to_pylist() for k in range(0, len(texts), 30)] == [want[k : k + 30] for k in range(0, len(want), 30)]
 
 
 def test_ids_in_columns(spark, encoders):
@@ -306,20 +308,96 @@ def test_pages(spark):
             extra = ["", "\n- https://docs.example.test/a/1\n- https://docs.example.test/b/2\n", "\n```\n2025-03-30 05:58:42,457 | a.b | DEBUG | x\n2025-03-30 05:58:42,457 | a.b | DEBUG | x\n```\n", "\n* one: look at it first.\n* two: see the note."][n % 4]
             pages.append((PROSE * rng.randint(1, 12) + extra + PROSE, False))
     df = spark.createDataFrame([(k, t, "clash") for k, (t, _) in enumerate(pages)] + [(-1, None, ""), (-2, "", ""), (-3, " \n", "")], "doc_id long, text string, non_prose string")
-    model = S.fit(df, "text")
-    got = {r["doc_id"]: r["non_prose"] for r in S.with_share(df, "text", model).collect()}
+    got = {r["doc_id"]: r["non_prose"] for r in S.with_share(df, "text").collect()}
     assert all((got[k] > 0.5) == bad for k, (_, bad) in enumerate(pages)) and got[-1] == got[-2] == got[-3] == 0
-    assert S.with_share(df.limit(0), "text", S.fit(df.limit(0), "text")).count() == 0
-    pages = [[S.features(w) for w in S.segments(t)] for t, _ in pages[:120]] + [[]]
-    assert all((model.posterior(x)[0].argmax(1) == y).all() for x, y in zip(pages, model.labels(pages)) if x)
-    assert S.Model().shares(["word " * 200_000, None, ""])[1:] == [0, 0]
-
-
-def test_sample_is_sized_by_distinct_texts(spark, monkeypatch):
-    texts = [f"text {k}" for k in range(40)]
-    df = spark.createDataFrame([(texts[k % 40],) for k in range(1000)], "text string")
-    held = []
-    monkeypatch.setattr(S.Model, "fit", lambda self, pages: held.append(len(pages)) or self)
-    S.fit(df, "text", sample=30)
-    S.fit(df, "text", sample=60)
-    assert held == [30, 40]
+    assert S.with_share(df.limit(0), "text").count() == 0
+    clash = S.with_share(df.where("doc_id < 20").withColumn("units", F.lit(1)), "text").collect()
+    assert len(clash) == 23
+
+
+def coded(texts):
+    codes, sizes, page = S.units(pa.array(texts, pa.string()))
+    bounds = np.searchsorted(page, np.arange(1, len(texts)))
+    return np.split(codes, bounds), np.split(sizes, bounds)
+
+
+def test_units():
+    text = "One short line\nThe first sentence ends here. The second one goes on, and on\n```\nraw a=1\n```\n" + "word " * 100 + "\n\n"
+    codes, sizes = coded(["", text, " \n "])
+    assert sizes[0].size == sizes[2].size == 0 and sizes[1].tolist() == [3, 5, 7, 2, 20, 20, 20, 20, 20] and sizes[1].sum() == len(text.replace("```", "").split())
+    alone = coded([text])
+    assert alone[0][0].tolist() == codes[1].tolist()  # pages don't show in each other's features
+    assert S.Model().shares(*coded(["word " * 200_000]))[0] == 1.0
+
+
+def test_posteriors_against_single_pages():
+    rng = random.Random(2)
+    pages = [np.array([rng.randrange(S.CODES) for _ in range(rng.randint(0, 30))]) for _ in range(40)]
+    model, moves, got = S.Model(), np.zeros((S.STATES, S.STATES)), {}
+    for some, sizes, _, p, m in model.posteriors(pages):
+        moves += m
+        got |= {k: p[r, : sizes[r]] for r, k in enumerate(some)}
+    want = np.zeros_like(moves)
+    for k, page in enumerate(pages):
+        if len(page):
+            b = model.table[page]
+            a, c = [model.first * b[0]], [np.ones(S.STATES)]
+            for x in b[1:]:
+                a.append((a[-1] @ model.move) * x)
+            for x in b[:0:-1]:
+                c.append(model.move @ (x * c[-1]))
+            c = c[::-1]
+            whole = a[-1].sum()
+            assert np.allclose(got[k], [u * v / whole for u, v in zip(a, c)])
+            for t in range(1, len(page)):
+                want += a[t - 1][:, None] * model.move * (b[t] * c[t])[None, :] / whole
+    assert np.allclose(moves, want)
+
+
+# Vocabularies that no other data here have: keywords, nouns, verbs, adverbs and articles of five languages.
+OTHER = {
+    "de": ("billige flüge,hotel buchen,reise angebote,ferienhaus am see", "Garten Fluss Lehrer Verein Bericht Brief Turm", "besuchte sah vergaß fand lobte", "gestern abends langsam trotzdem bald", "der die ein eine"),
+    "fr": ("régime rapide,perdre du poids,crème minceur", "jardin fleuve maître rapport maison lettre tour", "visita vit oublia trouva loua", "hier lentement pourtant bientôt toujours", "le la un une"),
+    "tr": ("ucuz telefon,ikinci el araba,kredi hesaplama", "bahçe nehir öğretmen rapor mektup kule pazar", "gezdi gördü unuttu buldu övdü", "dün yavaşça ancak akşam yine", "bu bir o şu"),
+    "ru": ("купить диван,дешевые шины,ремонт квартир", "сад река учитель отчет письмо башня рынок", "посетил увидел забыл нашел похвалил", "вчера медленно однако вечером снова", "этот тот один наш"),
+    "en": ("car insurance quotes,cheap payday loan,best casino bonus", "garden river teacher report letter tower market", "visited saw forgot found praised", "yesterday slowly however soon again", "the a our one"),
+}
+
+
+def other_page(lang, kind, rng):
+    keys, nouns, verbs, adverbs, articles = OTHER[lang][0].split(","), *(x.split() for x in OTHER[lang][1:])
+
+    def sentence():
+        w = [rng.choice(articles), rng.choice(nouns), rng.choice(verbs), rng.choice(articles), rng.choice(nouns), *rng.sample(adverbs, rng.randint(1, 4))]
+        return " ".join(w).capitalize() + rng.choice("..!?")
+
+    prose = "\n".join(" ".join(sentence() for _ in range(rng.randint(2, 6))) if rng.random() < 0.8 else f"- {sentence()}" for _ in range(rng.randint(1, 9)))
+    if kind is None:
+        return prose
+    k, n = lambda: rng.choice(keys), rng.randint(40, 160)
+    link = lambda x: rng.choice((f"https://{x.replace(' ', '-')}.shop.xyz/{n}", f"[{x}](http://www.{x.replace(' ', '-')}.info/p{n})", f"{x} - {x.replace(' ', '-')}.store/{n}"))
+    body = {"stuffed": lambda: " ".join(k() for _ in range(n)), "links": lambda: "\n".join(link(k()) for _ in range(n // 3)), "tags": lambda: " ".join("#" + k().replace(" ", "") for _ in range(n)),
+            "codes": lambda: rng.choice(("\n", ", ")).join(f"{k()} A{rng.randint(10, 999)}" for _ in range(n // 3)), "menu": lambda: " | ".join(k() for _ in range(n // 2))}[kind]()
+    return (sentence() + "\n") * (rng.random() < 0.4) + body
+
+
+def test_spam_of_other_vocabularies_and_languages():
+    """Held out: none of these words or link endings is known to the model, nor are the labels used in fitting."""
+    rng = random.Random(8)
+    pages = [(other_page(lang, kind, rng), kind is not None) for lang in OTHER for kind in [None] * 100 + ["stuffed", "links", "tags", "codes", "menu"] * 15]
+    codes, sizes = coded([t for t, _ in pages])
+    model, bad = S.Model(), np.array([b for _, b in pages])
+    for _ in range(S.ROUNDS):
+        model = model.refit(*model.counts(codes))
+    found = model.shares(codes, sizes) > 0.5
+    assert (found & bad).sum() / bad.sum() >= 0.95 and (found & bad).sum() / found.sum() >= 0.95
+
+
+def test_fit_uses_all_pages_and_no_sizes(spark):
+    """The model of all pages is the same however they are parted, and copies of all pages leave it as it is."""
+    rng = random.Random(6)
+    rows = [(k, spam(rng.choice(["links", "tags", "menu"]), rng) if k % 5 == 0 else PROSE * (k % 4 + 1)) for k in range(200)]
+    one = spark.createDataFrame(rows, "id int, text string")
+    models = [S.fit(S.with_units(df, "text"), 2) for df in (one, one.repartition(7), one.unionByName(one).unionByName(one))]
+    for m in models[1:]:
+        assert np.allclose(m.move, models[0].move, atol=1e-8) and all(np.allclose(a, b, atol=1e-8) for a, b in zip(m.emit, models[0].emit))
