@@ -57,10 +57,11 @@ def aggregate(df: DataFrame, filters: Sequence[Filter], group: str, measures: Se
     return out.orderBy(F.desc(measures[0].label), F.asc_nulls_first("key")).limit(cap)
 
 
-def first_values(rows: DataFrame, column: str, label: str, most: int = 100) -> DataFrame:
-    """The first non-empty values of each key in id order, joined; the rank filter keeps ``most`` rows a key before the shuffle."""
+def first_values(rows: DataFrame, column: str, label: str, most: int = 100, parts: int = 64) -> DataFrame:
+    """The first non-empty values of each key in id order, joined; each of ``parts`` shares of a key's rows keeps ``most``, so that no key is one task."""
     text = column_of(rows, column).cast("string")
-    some = rows.where(F.trim(text) != "").select("key", "id", text.alias("v"))
+    some = rows.where(F.trim(text) != "").select("key", "id", text.alias("v")).withColumn("__p", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    some = some.withColumn("r", F.row_number().over(Window.partitionBy("key", "__p").orderBy("id"))).where(F.col("r") <= most)
     some = some.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("r") <= most)
     kept = F.array_sort(F.collect_list(F.struct("r", "v")))
     text = F.array_join(F.transform(kept, lambda x: x["v"]), ", ")
@@ -198,11 +199,27 @@ def overview_patterns(df: DataFrame, top: int = 80) -> DataFrame:
 
 
 def percentiles(df: DataFrame, column: str, by: str, ps: Sequence[float] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """Nearest-rank percentiles by group, from the distinct values with their counts, so that no group is sorted in one task."""
+    """Nearest-rank percentiles by group, exact, without sorting a group in one task.
+
+    Values are counted, then their counts by coarse steps of about a millionth of the value: a group's steps tell in which of them
+    each rank lies, and only the values of those steps are put in order.
+    """
     counts = df.where(F.col(column).isNotNull()).groupBy(by, F.col(column).alias("x")).agg(F.count("*").alias("c"))
+    x = F.abs(F.col("x").cast("double"))
+    power = F.when(x > 0, F.floor(F.log2(x))).otherwise(0.0)
+    # the place of the value between two powers of two, in 2^20 steps; equal or rising with the value, which is all that matters
+    step = F.when(x > 0, (power + 1100) * (1 << 21) + F.floor(x / F.pow(F.lit(2.0), power) * (1 << 20))).otherwise(0)
+    counts = counts.withColumn("__s", F.when(F.col("x") < 0, -step).otherwise(step).cast("long"))
     w = Window.partitionBy(by)
-    counts = counts.withColumn("cum", F.sum("c").over(w.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("c").over(w))
-    return counts.groupBy(by).agg(F.max("total").alias("n"), *[F.min(F.when(F.col("cum") >= F.ceil(F.col("total") * F.lit(p)), F.col("x"))).alias(f"p{round(p * 100)}") for p in ps])
+    steps = counts.groupBy(by, "__s").agg(F.sum("c").alias("c"))
+    steps = steps.withColumn("__upto", F.sum("c").over(w.orderBy("__s").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(w))
+    ranks = [F.ceil(F.col("n") * F.lit(p)) for p in ps]
+    here = F.filter(F.array(*[F.when((r <= F.col("__upto")) & (r > F.col("__upto") - F.col("c")), F.struct(F.lit(k).alias("k"), r.alias("rank"))) for k, r in enumerate(ranks)]), lambda v: v.isNotNull())
+    wanted = steps.select(by, "__s", "n", (F.col("__upto") - F.col("c")).alias("__before"), F.explode(here).alias("r"))
+    found = counts.join(wanted.withColumnRenamed(by, "__wg").withColumnRenamed("__s", "__ws"), F.col(by).eqNullSafe(F.col("__wg")) & (F.col("__s") == F.col("__ws")))
+    inner = F.sum("c").over(Window.partitionBy(by, "r.k").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    found = found.withColumn("__rank", F.col("__before") + inner).where(F.col("__rank") >= F.col("r.rank"))
+    return found.groupBy(by).agg(F.max("n").alias("n"), *[F.min(F.when(F.col("r.k") == k, F.col("x"))).alias(f"p{round(p * 100)}") for k, p in enumerate(ps)])
 
 
 def compare_periods(df: DataFrame, key: Column, middle: int, top: int = 100) -> DataFrame:

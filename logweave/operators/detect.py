@@ -1,8 +1,8 @@
 """Detections: single, threshold, distinct, ratio, aggregate, beacon, behaviours, and ordered sequences.
 
-Windowed rules are plans over range frames.  Sequence, temporal and absence rules match events one by one and consume them: only the
+Windowed rules are plans over range frames in blocks of time.  Sequence and temporal rules match events one by one and consume them: only the
 events that some step selects are shuffled, cut into independent stretches where more than the window lies between
-neighbours, so that a group with very many events spreads over many tasks.
+neighbours.  A stretch without such a gap is read in order by one task, which holds no more than a window of it.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.operators.aggregates import percentiles
-from logweave.operators.sliding import islands, with_sliding
+from logweave.operators.ordered import block_width, with_previous, with_running
+from logweave.operators.sliding import BLOCK_WIDTHS, islands, with_sliding
 
 
 def single(df: DataFrame, where: Column, unless: Column | None = None) -> DataFrame:
@@ -46,8 +47,8 @@ def sliding_aggregate(df: DataFrame, where: Column, by: Sequence[str], number: C
 
 def beacon(df: DataFrame, by: Sequence[str], count: int = 6, least_gap: int = 10_000, share: float = 0.8, spread: float = 0.2, floor: int = 2000) -> DataFrame:
     """Groups whose gaps are regular: by, hits, median_gap, regular (share of gaps near the median)."""
-    gap = F.col("ts") - F.lag("ts").over(Window.partitionBy(*by).orderBy("ts", "id"))
-    rows = df.where("ts is not null").select(*by, "ts", "id").withColumn("gap", gap).where("gap is not null").withColumn("__g", F.concat_ws("\x1f", *by))
+    rows = with_previous(df.select(*by, "ts", "id"), by, {"ts": "__last"})
+    rows = rows.withColumn("gap", F.col("ts") - F.col("__last")).drop("__last").where("gap is not null").withColumn("__g", F.concat_ws("\x1f", *by))
     medians = percentiles(rows, "gap", "__g", (0.5,)).withColumnRenamed("n", "gaps")
     near = F.abs(F.col("gap") - F.col("p50")) <= F.greatest(F.col("p50") * spread, F.lit(floor))
     out = rows.join(medians, "__g").groupBy(*by).agg((F.count("*") + 1).alias("hits"), F.max("p50").alias("median_gap"), F.round(F.avg(near.cast("double")), 6).alias("regular"))
@@ -57,8 +58,7 @@ def beacon(df: DataFrame, by: Sequence[str], count: int = 6, least_gap: int = 10
 def new_value(df: DataFrame, by: Sequence[str], column: str, history: int = 5) -> DataFrame:
     """First events of a value that come after at least ``history`` events of their group."""
     rows = df.where(F.col(column).isNotNull() & F.col("ts").isNotNull())
-    w = Window.partitionBy(*by).orderBy("ts", "id")
-    rows = rows.withColumn("prior", F.row_number().over(w) - 1)
+    rows = with_running(rows, by, F.lit(1), "__upto").withColumn("prior", (F.col("__upto") - 1).cast("int"))
     first = rows.groupBy(*by, column).agg(F.min(F.struct("ts", "id", "prior")).alias("f"))
     return first.select(*by, column, "f.*").where(F.col("prior") >= history)
 
@@ -90,11 +90,10 @@ def travel(df: DataFrame, by: Sequence[str], lat: str, lon: str, speed: float =
     """Moves of at least ``distance`` km between consecutive events at more than ``speed`` km/h."""
     from logweave.functions.net import haversine_km
 
-    w = Window.partitionBy(*by).orderBy("ts", "id")
-    rows = df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull() & F.col("ts").isNotNull())
-    km = haversine_km(F.lag(lat).over(w), F.lag(lon).over(w), F.col(lat), F.col(lon))
-    rows = rows.withColumn("km", km).withColumn("hours", (F.col("ts") - F.lag("ts").over(w)) / 3_600_000)
-    return rows.where((F.col("km") >= distance) & (F.col("km") > F.col("hours") * speed))
+    rows = df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+    rows = with_previous(rows, by, {"ts": "__ts", lat: "__lat", lon: "__lon"})
+    rows = rows.withColumn("km", haversine_km(F.col("__lat"), F.col("__lon"), F.col(lat), F.col(lon))).withColumn("hours", (F.col("ts") - F.col("__ts")) / 3_600_000)
+    return rows.where((F.col("km") >= distance) & (F.col("km") > F.col("hours") * speed)).drop("__ts", "__lat", "__lon")
 
 
 def _match(rows: Iterable[tuple], steps: int, width: int, ordered: bool) -> Iterator[tuple]:
@@ -149,9 +148,9 @@ def sequence(df: DataFrame, steps: Sequence[Column], by: Sequence[str], width: i
     for k, s in enumerate(steps):
         bits = bits + F.when(F.coalesce(s, F.lit(False)), 1 << k).otherwise(0)
     rows = df.where("ts is not null").select(*by, "ts", "id", bits.alias("steps")).where("steps > 0")
-    w = Window.partitionBy(*by).orderBy("ts", "id")
-    rows = rows.withColumn("__new", (F.col("ts") - F.lag("ts").over(w) > width).cast("int"))
-    rows = rows.withColumn("__stretch", F.sum(F.coalesce("__new", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    block = block_width(rows)
+    rows = with_previous(rows, by, {"ts": "__last"}, width=block)
+    rows = with_running(rows, by, (F.col("ts") - F.col("__last") > width).cast("int"), "__stretch", width=block)
     kinds = ", ".join(f"`{b}` {dict(rows.dtypes)[b]}" for b in by)
     names, count, keys = [*by, "first", "last", "events"], len(steps), [*by, "__stretch"]
 
@@ -172,9 +171,13 @@ def sequence(df: DataFrame, steps: Sequence[Column], by: Sequence[str], width: i
 def absence(df: DataFrame, anchor: Column, expected: Column, by: Sequence[str], width: int, covered_until: int) -> DataFrame:
     """Anchors without the expected event within the window, only where the data are known to be complete until ``covered_until``."""
     rows = df.where("ts is not null").withColumn("__a", F.coalesce(anchor, F.lit(False))).withColumn("__e", F.coalesce(expected, F.lit(False))).where("__a or __e")
-    later = Window.partitionBy(*by).orderBy("ts").rangeBetween(0, width)
-    rows = rows.withColumn("__seen", F.count_if("__e").over(later) - F.when(F.col("__e"), 1).otherwise(0))
-    return rows.where(F.col("__a") & (F.col("__seen") == 0) & (F.col("ts") + width <= covered_until)).drop("__a", "__e", "__seen")
+    # a block of time holds the rows of its span and, as context, those of the ``width`` after it
+    block = BLOCK_WIDTHS * max(width, 1)
+    own = F.floor(F.col("ts") / block)
+    into = F.when(F.pmod(F.col("ts"), F.lit(block)) <= width, F.array(own, own - 1)).otherwise(F.array(own))
+    later = Window.partitionBy(*by, "__b").orderBy("ts").rangeBetween(0, width)
+    rows = rows.withColumn("__b", F.explode(into)).withColumn("__seen", F.count_if("__e").over(later) - F.when(F.col("__e"), 1).otherwise(0)).where(F.col("__b") == own)
+    return rows.where(F.col("__a") & (F.col("__seen") == 0) & (F.col("ts") + width <= covered_until)).drop("__a", "__e", "__seen", "__b")
 
 
 def episodes(members: DataFrame) -> DataFrame:

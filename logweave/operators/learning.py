@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.functions.text import MASK, pattern_of
+from logweave.operators.ordered import with_previous
 
 BINS = 32
 
@@ -43,8 +44,7 @@ def tail_scores(df: DataFrame, context: str, number: str) -> DataFrame:
 
 def transitions(df: DataFrame, context: str, state: str) -> DataFrame:
     """Probability of each state after another within a context: context, before, after, n, p."""
-    w = Window.partitionBy(context).orderBy("ts", "id")
-    rows = df.where("ts is not null").select(F.col(context).alias("context"), F.lag(state).over(w).alias("before"), F.col(state).alias("after")).where("before is not null")
+    rows = with_previous(df.select(F.col(context).alias("context"), "ts", "id", F.col(state).alias("after")), ["context"], {"after": "before"}).where("before is not null")
     counts = rows.groupBy("context", "before", "after").agg(F.count("*").alias("n"))
     return counts.withColumn("p", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("context", "before")), 6))
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from logweave.operators.ordered import block_width, with_previous, with_running
+
 
 #: Length of a block of time in window widths: one row in so many is context of two blocks.
 BLOCK_WIDTHS = 16
@@ -26,14 +28,35 @@ def with_sliding(df: DataFrame, by: Sequence[str], width: int, distinct: str = "
     rows = df.where("ts is not null").withColumn("__b", F.explode(into))
     w = span([*by, "__b"], width)
     out = rows.withColumn("win_n", F.count("*").over(w))
-    if distinct:
-        out = out.withColumn("win_distinct", F.size(F.collect_set(distinct).over(w)))
     if flag is not None:
         out = out.withColumn("win_flagged", F.count_if(flag).over(w))
     if number is not None:
         out = out.withColumn("win_sum", F.sum(number).over(w)).withColumn("win_avg", F.avg(number).over(w))
         out = out.withColumn("win_min", F.min(number).over(w)).withColumn("win_max", F.max(number).over(w))
-    return out.where(F.col("__b") == own).drop("__b")
+    out = out.where(F.col("__b") == own).drop("__b")
+    return with_distinct(out, by, width, distinct) if distinct else out
+
+
+def with_distinct(df: DataFrame, by: Sequence[str], width: int, column: str, name: str = "win_distinct") -> DataFrame:
+    """``df`` with the number of different values in the last ``width`` milliseconds.
+
+    A value counts from each of its rows on for ``width``; where it stands again within that time, its spans are one.  The number of
+    values at an instant is the number of spans that have begun less those that have ended: no row holds a set.
+    """
+    block = block_width(df)
+    seen = df.where(F.col(column).isNotNull()).select(*by, F.col(column).alias("__value"), "ts").distinct()
+    seen = with_previous(seen, [*by, "__value"], {"ts": "__last"}, ("ts",), block)
+    again = F.col("ts") - F.col("__last") <= width
+    begun = seen.where(F.col("__last").isNull() | ~again).select(*by, "ts", F.lit(0).alias("__kind"), F.lit(1).alias("__step"))
+    # a span that is not joined by the next row ends: written by that next row, and by the last row of each value
+    ended = seen.where(~again).select(*by, (F.col("__last") + width).alias("ts")).unionByName(seen.groupBy(*by, "__value").agg((F.max("ts") + width).alias("ts")).select(*by, "ts"))
+    ended = ended.select(*by, "ts", F.lit(2).alias("__kind"), F.lit(-1).alias("__step"))
+    row = F.struct(*df.columns)
+    rows = df.select(*by, "ts", F.lit(1).alias("__kind"), F.lit(0).alias("__step"), row.alias("__row"))
+    steps = begun.unionByName(ended).groupBy(*by, "ts", "__kind").agg(F.sum("__step").cast("int").alias("__step"))
+    both = rows.unionByName(steps.withColumn("__row", F.lit(None).cast(rows.schema["__row"].dataType)))
+    both = with_running(both, by, F.col("__step"), name, ("ts", "__kind"), block).where("__kind = 1")
+    return both.select("__row.*", F.col(name).cast("int").alias(name))
 
 
 def islands(df: DataFrame, by: Sequence[str], width: int, hit: Column) -> DataFrame:
@@ -41,27 +64,33 @@ def islands(df: DataFrame, by: Sequence[str], width: int, hit: Column) -> DataFr
 
     A hit stands for its whole window; ranges that overlap or touch are one.
     """
-    hits = df.where(hit).withColumn("start", F.col("ts") - width)
-    order = Window.partitionBy(*by).orderBy("ts", "id")
-    new = (F.col("ts") - F.lag("ts").over(order) > width) | F.lag("ts").over(order).isNull()
-    run = F.sum(new.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return hits.withColumn("run", run).groupBy(*by, "run").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("hits"), F.max("win_n").alias("peak")).drop("run")
+    hits = df.where(hit)
+    block = block_width(hits)
+    hits = with_previous(hits, by, {"ts": "__last"}, width=block)
+    new = F.col("__last").isNull() | (F.col("ts") - F.col("__last") > width)
+    hits = with_running(hits, by, new.cast("int"), "run", width=block)
+    return hits.groupBy(*by, "run").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("hits"), F.max("win_n").alias("peak")).drop("run")
 
 
 def rising_edges(df: DataFrame, by: Sequence[str], hit: Column) -> DataFrame:
     """The events at which a condition begins to hold."""
-    order = Window.partitionBy(*by).orderBy("ts", "id")
-    marked = df.withColumn("__hit", F.coalesce(hit, F.lit(False))).withColumn("__before", F.coalesce(F.lag("__hit").over(order), F.lit(False)))
-    return marked.where("__hit and not __before").drop("__hit", "__before")
+    marked = with_previous(df.withColumn("__hit", F.coalesce(hit, F.lit(False))), by, {"__hit": "__was"})
+    return marked.where(F.col("__hit") & ~F.coalesce("__was", F.lit(False))).drop("__hit", "__was")
 
 
 def gaps(df: DataFrame, by: Sequence[str], least: int) -> DataFrame:
     """Silences of at least ``least`` milliseconds: by, gap_start, gap_end, gap_ms."""
-    before = F.lag("ts").over(Window.partitionBy(*by).orderBy("ts", "id"))
-    rows = df.where("ts is not null").withColumn("gap_start", before).where(F.col("ts") - F.col("gap_start") >= least)
+    rows = with_previous(df, by, {"ts": "gap_start"}).where(F.col("ts") - F.col("gap_start") >= least)
     return rows.select(*by, "gap_start", F.col("ts").alias("gap_end"), (F.col("ts") - F.col("gap_start")).alias("gap_ms"))
 
 
+def sequence_jumps(df: DataFrame, by: Sequence[str], number: str) -> DataFrame:
+    """Record numbers of a writer that don't follow one another: by, ts, id, before, number, missing (negative where the number went back or stood still)."""
+    rows = df.where(F.col(number).isNotNull()).withColumn("__n", F.col(number).cast("long"))
+    rows = with_previous(rows, by, {"__n": "before"}).where((F.col("__n") != F.col("before") + 1))
+    return rows.select(*by, "ts", "id", "before", F.col("__n").alias("number"), (F.col("__n") - F.col("before") - 1).alias("missing"))
+
+
 def ranks(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(*order)
     full = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
