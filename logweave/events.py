@@ -53,12 +53,25 @@ def events_view(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def column_of(df: DataFrame, name: str) -> Column:
-    """A column by name, else the field of that name in ``fields``, else null."""
+    """A column by name, else the field of that name in ``fields`` (letter case last), else a path into JSON, else the role of that name, else null."""
     if name in df.columns:
         return F.col(f"`{name}`")
     lower = {c.lower(): c for c in df.columns}
     if name.lower() in lower:
         return F.col(f"`{lower[name.lower()]}`")
+    found = []
     if "fields" in df.columns:
-        return F.try_element_at(F.col("fields"), F.lit(name))
-    return F.lit(None).cast("string")
+        from logweave.functions.transforms import lower_keys
+
+        found = [F.try_element_at("fields", F.lit(name)), F.try_element_at(lower_keys(F.col("fields")), F.lit(name.lower()))]
+    # a dotted name goes down into a column or field that holds JSON; the longest name that exists counts first
+    parts = name.split(".")
+    for k in range(len(parts) - 1, 0, -1):
+        head, path = ".".join(parts[:k]), "$" + "".join(f"[{p}]" if p.isdigit() else f"['{p}']" for p in parts[k:])
+        if head.lower() in lower:
+            found.append(F.get_json_object(F.col(f"`{lower[head.lower()]}`").cast("string"), path))
+        elif "fields" in df.columns:
+            found.append(F.get_json_object(F.try_element_at("fields", F.lit(head)), path))
+    if "roles" in df.columns and name in df.schema["roles"].dataType.fieldNames():
+        found.append(F.col(f"roles.`{name}`"))
+    return F.coalesce(*found) if found else F.lit(None).cast("string")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
+import xml.etree.ElementTree as ET
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,6 +122,14 @@ def step(c: Column, name: str) -> Column:
             return F.when(c.rlike(r"^(?:[0-9A-Fa-f]{2})*$"), F.decode(F.unhex(c), "UTF-8"))
         case "parse_json":
             return F.to_json(F.try_parse_json(c))
+        case "parse_xml":
+            return parse_xml(c)
+        case "jwt_header":
+            return F.to_json(F.try_parse_json(decode_base64(F.get(F.split(c, r"\."), F.lit(0)))))
+        case "basic":
+            return decode_base64(F.nullif(F.regexp_extract(c, r"(?i)^\s*basic\s+(\S+)\s*$", 1), F.lit("")))
+        case "utf16_decode":
+            return F.when(c.rlike(r"^[A-Za-z0-9+/\s]+=*$"), F.decode(F.try_to_binary(F.regexp_replace(c, r"\s", ""), F.lit("base64")), "UTF-16LE"))
         case "jwt_payload":
             return F.to_json(F.try_parse_json(decode_base64(F.get(F.split(c, r"\."), F.lit(1)))))
         case "parse_query":
@@ -136,6 +147,94 @@ def step(c: Column, name: str) -> Column:
     raise ValueError(f"unknown transform {name!r}")
 
 
+#: Bounds of what a transform reads: characters of a text, nodes and depth of a document; texts beyond them give null.
+MOST_TEXT, MOST_NODES, MOST_DEPTH = 262_144, 4096, 16
+
+
+def _xml_value(e: ET.Element, depth: int, left: list[int]):
+    left[0] -= 1
+    if depth > MOST_DEPTH or left[0] < 0:
+        raise ValueError("the document is too large")
+    out: dict = {f"@{k.rsplit('}', 1)[-1]}": v for k, v in e.attrib.items()}
+    for x in e:
+        name, value = x.tag.rsplit("}", 1)[-1], _xml_value(x, depth + 1, left)
+        if name not in out:
+            out[name] = value
+        elif isinstance(out[name], list):
+            out[name].append(value)
+        else:
+            out[name] = [out[name], value]
+    text = (e.text or "").strip()
+    if not out:
+        return text
+    return out | {"#text": text} if text else out
+
+
+def parse_xml(c: Column) -> Column:
+    """JSON of an XML text: attributes as ``@name``, repeated elements as lists; null for texts that aren't XML, declare entities or are too large."""
+
+    def run(s: pd.Series) -> pd.Series:
+        out = []
+        for t in s.tolist():
+            made = None
+            if t and len(t) <= MOST_TEXT and "<!" not in t:
+                try:
+                    root = ET.fromstring(t)
+                    made = json.dumps({root.tag.rsplit("}", 1)[-1]: _xml_value(root, 1, [MOST_NODES])}, ensure_ascii=False)
+                except (ET.ParseError, ValueError):
+                    pass
+            out.append(made)
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(run, "string")(c)
+
+
+def children(c: Column, name: str) -> Column:
+    """Map ``name.child`` of the values of a JSON text, nested ones by dotted names, lists by their numbers; null for other texts."""
+
+    def run(s: pd.Series) -> pd.Series:
+        def walk(v, at: str, out: dict, depth: int) -> None:
+            parts = v.items() if isinstance(v, dict) else enumerate(v) if isinstance(v, list) else ()
+            if parts and depth <= MOST_DEPTH and len(out) < MOST_NODES:
+                for k, x in parts:
+                    walk(x, f"{at}.{k}", out, depth + 1)
+            elif v is not None:
+                out[at] = v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+
+        made = []
+        for t in s.tolist():
+            try:
+                value = json.loads(t) if t and len(t) <= 2 * MOST_TEXT else None
+            except ValueError:
+                value = None
+            out: dict[str, str] = {}
+            walk(value, name, out, 0)
+            made.append(out if isinstance(value, (dict, list)) else None)
+        return pd.Series(made, dtype=object)
+
+    return F.pandas_udf(run, "map<string,string>")(c)
+
+
+def exploded(df: DataFrame, column: str, steps: Sequence[str]) -> DataFrame:
+    """``df`` with the children of a transform's output added to its fields as ``column.child``; fields that are there already stay."""
+    made = F.coalesce(children(transform(F.col(f"`{column}`") if column in df.columns else column_of(df, column), steps), column), F.expr("map()").cast("map<string,string>"))
+    rows = df.withColumn("__made", made)
+    own = F.coalesce("fields", F.expr("map()").cast("map<string,string>")) if "fields" in df.columns else F.expr("map()").cast("map<string,string>")
+    rows = rows.withColumn("fields", F.map_concat(F.map_filter("__made", lambda k, _: ~F.map_contains_key(own, k)), own))
+    return rows.drop("__made")
+
+
+def delimited_fields(c: Column, names: Sequence[str], mark: str = ",") -> Column:
+    """Map of a delimited text's values by names; quoted values may hold the mark, values without a name are ``column N``."""
+    cells = F.from_csv(c, ", ".join(f"c{k} string" for k in range(len(names))), {"sep": mark})
+    return F.when(c.isNotNull(), F.map_filter(F.create_map(*[x for k, n in enumerate(names) for x in (F.lit(n), cells[f"c{k}"])]), lambda _, v: v.isNotNull()))
+
+
+def all_matches(c: Column, pattern: str, group: int = 0) -> Column:
+    """All matches of an expression's group in a text, in order."""
+    return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
+
+
 def transform(c: Column, steps: Sequence[str]) -> Column:
     if len(steps) > 8:
         raise ValueError("more than 8 steps")

@@ -7,11 +7,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logweave.events import EMPTY_LABEL, column_of
 from logweave.functions.text import pattern_of
-from logweave.functions.units import num_unit, unit_kind
+from logweave.functions.units import NUMBER, num_unit, unit_kind
 from logweave.plans.filters import Filter, compile_filters
+from logweave.session import cut
 
 ERRORS = ("Crítico", "Erro")
 GROUP_CAP = 50_000
@@ -30,31 +32,82 @@ class Measure:
         return self.name or (f"{self.kind}_{self.column}" if self.column else self.kind)
 
 
-def _measure(df: DataFrame, m: Measure) -> list[Column]:
+_NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
+#: Columns that hold an instant in epoch milliseconds: their smallest and largest values are shown as ISO texts.
+INSTANTS = ("ts", "timestamp", "tempo")
+
+
+def _number(df: DataFrame, column: str) -> tuple[Column, Column]:
+    """(value, kind of unit) of a column: numbers are taken as they are, texts are read with their units."""
+    c = column_of(df, column)
+    if column in df.columns and isinstance(df.schema[column].dataType, _NUMERIC):
+        return c.cast("double"), F.when(c.isNotNull(), F.lit(NUMBER))
+    text = c.cast("string")
+    return num_unit(text), unit_kind(text)
+
+
+def dominant_unit(df: DataFrame, column: str, first: int | None = None) -> int | None:
+    """The kind of unit that most of a column's values have, of all or of the ``first`` in id order that have one; of equally many the smallest."""
+    _, kind = _number(df, column)
+    kinds = df.select("id" if "id" in df.columns else F.lit(0).alias("id"), kind.alias("k")).where("k is not null")
+    if first:
+        kinds = kinds.where(F.col("k") != NUMBER).orderBy("id").limit(first)
+    got = kinds.groupBy("k").count().orderBy(F.desc("count"), "k").first()
+    return got["k"] if got else None
+
+
+def _measure(df: DataFrame, m: Measure, unit: int | None = None) -> list[Column]:
+    """A measure's columns.  unit: the kind that a group's values must all have; without one they must only be of one kind."""
     if m.kind == "count":
         return [F.count("*").alias(m.label)]
-    text = column_of(df, m.column).cast("string")
     if m.kind == "count_distinct":
-        return [F.count_distinct(text).alias(m.label)]
-    n, kind = num_unit(text), unit_kind(text)
+        return [F.count_distinct(column_of(df, m.column).cast("string")).alias(m.label)]
+    n, kind = _number(df, m.column)
+    if m.column in INSTANTS and m.kind in ("min", "max"):
+        value = {"min": F.min(n), "max": F.max(n)}[m.kind].cast("long")
+        return [F.date_format(F.timestamp_millis(value), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias(m.label)]
     value = {"sum": F.sum(n), "avg": F.avg(n), "min": F.min(n), "max": F.max(n)}[m.kind]
-    mixed = F.min(kind) != F.max(kind)
+    mixed = (F.min(kind) != F.max(kind)) if unit is None else (F.min(kind) != unit) | (F.max(kind) != unit)
     return [F.when(mixed, None).otherwise(F.round(value, 2)).alias(m.label), F.coalesce(mixed, F.lit(False)).alias(f"{m.label}_mixed")]
 
 
-def aggregate(df: DataFrame, filters: Sequence[Filter], group: str, measures: Sequence[Measure], cap: int = GROUP_CAP) -> DataFrame:
+def key_order(key: Column) -> list[Column]:
+    """Numbers first, by value, then texts in lower case, then as written; null before all."""
+    number = key.try_cast("double")
+    return [F.asc_nulls_first(key.isNotNull()), F.asc(number.isNull()), F.asc(number), F.asc(F.lower(key)), F.asc(key)]
+
+
+def aggregate(df: DataFrame, filters: Sequence[Filter], group: str, measures: Sequence[Measure], cap: int = GROUP_CAP, by_key: bool = False, one_unit: bool = False) -> DataFrame:
     """Measures by one column: key, measures, and for numbers whether units are mixed (then the value is null).
 
-    The ``cap`` groups of the largest first measure; group_total says how many groups and records there are in all.
+    The ``cap`` groups of the largest first measure, or with ``by_key`` the first in the order of keys.  With ``one_unit`` all groups must have the unit
+    that most values of the measure have; the others are null and marked as mixed.  ``group_totals`` says how many groups and records there are.
     """
     rows = df.where(compile_filters(df, list(filters))).withColumn("key", column_of(df, group).cast("string"))
-    exprs = [c for m in measures if m.kind != "string_agg" for c in _measure(df, m)]
-    out = rows.groupBy("key").agg(*exprs)
+    units = {m: dominant_unit(rows, m.column) for m in measures if one_unit and m.column and m.kind in ("sum", "avg", "min", "max")}
+    exprs = [c for m in measures if m.kind != "string_agg" for c in _measure(df, m, units.get(m))]
+    out = rows.groupBy("key").agg(*exprs) if exprs else rows.select("key").distinct()
     for m in measures:
         if m.kind == "string_agg":
             joined = first_values(rows, m.column, m.label)
             out = out.join(joined.withColumnRenamed("key", "__key"), F.col("key").eqNullSafe(F.col("__key")), "left").drop("__key")
-    return out.orderBy(F.desc(measures[0].label), F.asc_nulls_first("key")).limit(cap)
+    order = key_order(F.col("key")) if by_key else [F.desc(measures[0].label), F.asc_nulls_first("key")]
+    return out.orderBy(*order).limit(cap)
+
+
+def explore(df: DataFrame, filters: Sequence[Filter], offset: int = 0, size: int = 50, top: int = 20) -> DataFrame:
+    """One selection looked at from all sides: part (total, level, source, code, page), key, n.
+
+    The selection is written once; the page has the ids in order of (ts, id), with the place as n.
+    """
+    rows = cut(df.where(compile_filters(df, list(filters))).select("id", "ts", "level", "source", "code"))
+    out = rows.agg(F.count("*").alias("n")).select(F.lit("total").alias("part"), F.lit(None).cast("string").alias("key"), "n")
+    for c in ("level", "source", "code"):
+        counts = rows.groupBy(F.col(c).alias("key")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc_nulls_first("key")).limit(top)
+        out = out.unionByName(counts.select(F.lit(c).alias("part"), "key", "n"))
+    page = rows.orderBy(F.asc_nulls_first("ts"), "id").offset(offset).limit(size).select("ts", "id")
+    place = F.row_number().over(Window.orderBy(F.asc_nulls_first("ts"), "id")) + offset  # of the page's rows only
+    return out.unionByName(page.select(F.lit("page").alias("part"), F.col("id").cast("string").alias("key"), place.cast("long").alias("n")))
 
 
 def first_values(rows: DataFrame, column: str, label: str, most: int = 100, parts: int = 64) -> DataFrame:
@@ -148,9 +201,9 @@ def lanes(df: DataFrame, column: str, buckets: int = 60, top: int = 20) -> DataF
     ).agg(F.count("*").alias("n"), F.count_if(F.col("level").isin(*ERRORS)).alias("errors"))
 
 
-def series(df: DataFrame, chart: str, metric: str = "count", column: str = "", split: str = "", interval_ms: int = 3_600_000, top: int = 6, terms: int = 500) -> DataFrame:
+def series(df: DataFrame, chart: str, metric: str = "count", column: str = "", split: str = "", interval_ms: int = 3_600_000, top: int = 6, terms: int = 500, most: int = 1_000_000) -> DataFrame:
     """chart=time: bucket start (dense between the first and the last), split, value; chart=terms: the top values by metric."""
-    n = num_unit(column_of(df, column).cast("string")) if column else F.lit(None)
+    n = _number(df, column)[0] if column else F.lit(None).cast("double")
     value = {"count": F.count("*").cast("double"), "sum": F.sum(n), "avg": F.avg(n), "min": F.min(n), "max": F.max(n),
              "distinct": F.count_distinct(column_of(df, column)).cast("double")}[metric]
     value = F.round(value, 2).alias("value")
@@ -162,27 +215,57 @@ def series(df: DataFrame, chart: str, metric: str = "count", column: str = "", s
         key = F.when(key.isin(best), key).otherwise("(other)")
     start = (F.col("ts") - F.pmod(F.col("ts"), F.lit(interval_ms))).alias("start")
     got = df.where("ts is not null").groupBy(start, key.alias("split")).agg(value)
-    span = got.agg(F.min("start").alias("a"), F.max("start").alias("b"))
-    grid = span.select(F.explode(F.sequence("a", "b", F.lit(interval_ms))).alias("start"))
+    span = bounds(df)
+    if span is None:
+        return got if split else got.drop("split")
+    low, high = (x - x % interval_ms for x in span)
+    if (high - low) // interval_ms >= most:
+        raise ValueError(f"more than {most} intervals")
+    grid = df.sparkSession.range((high - low) // interval_ms + 1).select((F.lit(low) + F.col("id") * interval_ms).alias("start"))
+    empty = F.coalesce("value", F.lit(0.0)) if metric in ("count", "sum", "distinct") else F.col("value")
     if not split:
-        return grid.join(got.drop("split"), "start", "left").withColumn("value", F.coalesce("value", F.lit(0.0)) if metric in ("count", "sum", "distinct") else F.col("value"))
-    return got
+        return grid.join(got.drop("split"), "start", "left").withColumn("value", empty)
+    # every split that occurs, at most ``top`` and the others, in every interval
+    labels = [r["split"] for r in got.select("split").distinct().collect()]
+    grid = grid.withColumn("split", F.explode(F.array(*map(F.lit, labels))))
+    return grid.join(got, ["start", "split"], "left").withColumn("value", empty)
 
 
 def pivot(df: DataFrame, rows: Sequence[str], column: str, measures: Sequence[Measure], most_columns: int = 200) -> DataFrame:
-    """Row path prefixes (no grand total unless there are no row dimensions) by column values, with a total over the columns."""
+    """Row path prefixes (no grand total unless there are no row dimensions) by column values, with a total over the columns.
+
+    The ``most_columns`` values with the most rows have a column of their own, the others share ``(other)``.  string_agg joins the first 50 values
+    in id order.
+    """
     keys = [column_of(df, r).cast("string") for r in rows]
-    base = df.select(*[k.alias(f"r{i}") for i, k in enumerate(keys)], column_of(df, column).cast("string").alias("c"), "*")
-    exprs = [c for m in measures for c in _measure(df, m)]
+    col = column_of(df, column).cast("string")
+    best = df.groupBy(col.alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc_nulls_first("c")).limit(most_columns + 1).collect()
+    if len(best) > most_columns:
+        some = [r["c"] for r in best[:most_columns]]
+        kept = col.isin([c for c in some if c is not None]) | (col.isNull() if None in some else F.lit(False))
+        col = F.when(kept, col).otherwise("(other)")
+    base = df.select(*[k.alias(f"r{i}") for i, k in enumerate(keys)], col.alias("c"), "*")
+    exprs = [c for m in measures if m.kind != "string_agg" for c in _measure(df, m)] or [F.count("*").alias("__n")]
     names = [f"r{i}" for i in range(len(rows))]
     sets = [[F.col(n) for n in names[:k]] + extra for k in range(1 if names else 0, len(names) + 1) for extra in ([F.col("c")], [])]
     out = base.groupingSets(sets, *[F.col(n) for n in names], F.col("c")).agg(F.grouping_id().alias("g"), *exprs)
     depth = F.lit(0)
     for i in range(len(names)):
         depth = depth + (1 - F.col("g").bitwiseAND(1 << (len(names) - i)) / (1 << (len(names) - i))).cast("int")
-    path = F.array_join(F.slice(F.array(*[F.coalesce(F.col(n), F.lit(EMPTY_LABEL)) for n in names]), F.lit(1), depth), " → ") if names else F.lit("")
+    shown = F.array(*[F.coalesce(F.col(n), F.lit(EMPTY_LABEL)) for n in names]) if names else F.array().cast("array<string>")
+    path = F.array_join(F.slice(shown, F.lit(1), depth), " → ") if names else F.lit("")
     label = F.when(F.col("g").bitwiseAND(1) == 1, "(total)").otherwise(F.coalesce("c", F.lit(EMPTY_LABEL)))
-    return out.select(path.alias("path"), depth.alias("depth"), label.alias("col"), *[n for m in measures for n in [m.label]])
+    out = out.select(path.alias("path"), depth.alias("depth"), label.alias("col"), *[m.label for m in measures if m.kind != "string_agg"])
+    for m in measures:
+        if m.kind == "string_agg":
+            depths = [d for d in range(1 if names else 0, len(names) + 1)]
+            places = [F.struct(F.array_join(F.slice(shown, 1, d), " → ").alias("path") if d else F.lit("").alias("path"), F.lit(d).alias("depth"), c.alias("col")) for d in depths for c in (F.lit("(total)"), F.coalesce("c", F.lit(EMPTY_LABEL)))]
+            cells = base.withColumn("__p", F.explode(F.array(*places))).withColumn("key", F.to_json("__p"))
+            joined = first_values(cells, m.column, m.label, 50)
+            parts = F.from_json("key", "path string, depth int, col string")
+            joined = joined.select(parts["path"].alias("path"), parts["depth"].alias("depth"), parts["col"].alias("col"), m.label)
+            out = out.join(joined, ["path", "depth", "col"], "left")
+    return out.select("path", "depth", "col", *[m.label for m in measures])
 
 
 def overview_totals(df: DataFrame) -> DataFrame:

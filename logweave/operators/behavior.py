@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from logweave.operators.aggregates import percentiles
 from logweave.operators.detect import beacon
-from logweave.operators.joins import band_join
+from logweave.operators.joins import band_join, sized
 from logweave.operators.sliding import with_sliding
 
 HOUR = 3_600_000
@@ -25,7 +25,7 @@ def baseline(facts: DataFrame, days: int = 7) -> DataFrame:
 
 def new_relationship(facts: DataFrame, a: str, b: str, days: int = 7, history: int = 20) -> DataFrame:
     """Pairs first seen after the cutoff of entities with enough history before it."""
-    rows = facts.join(F.broadcast(baseline(facts, days)), "ns").where(F.col(a).isNotNull() & F.col(b).isNotNull())  # one row a namespace
+    rows = facts.join(sized(baseline(facts, days)), "ns").where(F.col(a).isNotNull() & F.col(b).isNotNull())
     known = rows.groupBy("ns", a).agg(F.count_if(F.col("ts") < F.col("cutoff")).alias("prior")).where(F.col("prior") >= history)
     pairs = rows.groupBy("ns", a, b).agg(F.min("ts").alias("first"), F.count("*").alias("n"), F.max("cutoff").alias("cutoff")).where(F.col("first") >= F.col("cutoff"))
     return pairs.join(known, ["ns", a]).select("ns", a, b, "first", "n")
@@ -76,7 +76,8 @@ def dns_tunneling(facts: DataFrame, name: str, label: int = 24, bits: float = 3.
 
 
 def parse_quality(events: DataFrame) -> DataFrame:
-    """Share of records without parse or time by source."""
+    """Share of records without parse or time by source; repeated rows of one id count once."""
+    events = events.select("id", "source", "parse_status", "ts").distinct()
     bad = F.coalesce(F.col("parse_status"), F.lit("")) != "parsed"
     return events.groupBy("source").agg(F.count("*").alias("n"), F.count_if(bad).alias("unparsed"), F.count_if(F.coalesce(F.col("ts"), F.lit(0)) == 0).alias("undated"))
 
@@ -123,7 +124,7 @@ def peer_volume(facts: DataFrame, entity: str, peers: int = 5, factor: float = 5
     """Entities with five times the median volume of their namespace's entities."""
     counts = facts.groupBy("ns", entity).agg(F.count("*").alias("n"))
     base = percentiles(counts, "n", "ns", (0.5,)).where(F.col("n") >= peers).select("ns", F.col("p50").alias("median"))
-    return counts.join(F.broadcast(base), "ns").where(F.col("n") > F.col("median") * factor)  # one row a namespace
+    return counts.join(sized(base), "ns").where(F.col("n") > F.col("median") * factor)
 
 
 def velocity(facts: DataFrame, entity: str, amount: str, unit: str, count: int, total: float, width: int = HOUR) -> DataFrame:
@@ -132,6 +133,25 @@ def velocity(facts: DataFrame, entity: str, amount: str, unit: str, count: int,
     return rows.where((F.col("win_n") >= count) & (F.col("win_sum") >= total)).groupBy("ns", entity, unit).agg(F.min("ts").alias("first"), F.max("win_n").alias("n"), F.max("win_sum").alias("total"))
 
 
+def takeover_chain(facts: DataFrame, legs: tuple[str, str, str], keys: list[str], width: int) -> DataFrame:
+    """Facts of three actions one after another with the same link keys, the last within a span after the first: keys, ids and the times of both ends.
+
+    Of each (keys, third fact) the latest second and of that the latest first fact stand in the row, so that a busy key makes no more rows
+    than it has third facts.
+    """
+    from logweave.operators.joins import as_of_join
+
+    names = [*keys, "ts", "id"]
+    one, two, three = (facts.where(F.col("action") == leg).select(*names) for leg in legs)
+    one = one.select(*keys, F.col("ts").alias("first_ts"), F.col("id").alias("first_id"), F.col("ts").alias("__t1"))
+    two = two.select(*keys, (F.col("ts") - 1).alias("__t"), F.col("ts").alias("second_ts"), F.col("id").alias("second_id"))
+    two = as_of_join(two, one, keys, "__t", "__t1", ["first_ts", "first_id"]).where("first_ts is not null").drop("__t")
+    three = three.select(*keys, (F.col("ts") - 1).alias("__t"), F.col("ts").alias("third_ts"), F.col("id").alias("third_id"))
+    two = two.withColumn("__t2", F.col("second_ts"))
+    out = as_of_join(three, two, keys, "__t", "__t2", ["first_ts", "first_id", "second_ts", "second_id"]).where(F.col("third_ts") - F.col("first_ts") <= width)
+    return out.select(*keys, "first_id", "second_id", "third_id", F.col("first_ts").alias("first"), F.col("third_ts").alias("last"))
+
+
 def linked_pair(facts: DataFrame, first: str, second: str, keys: list[str], width: int) -> DataFrame:
     """Facts of action ``second`` within a span after ones of action ``first`` with the same link keys."""
     a = facts.where(F.col("action") == first).select(*keys, F.col("ts").alias("first_ts"), F.col("id").alias("first_id"))
@@ -139,9 +159,15 @@ def linked_pair(facts: DataFrame, first: str, second: str, keys: list[str], widt
     return band_join(a, b, keys, "first_ts", "second_ts", width)
 
 
+#: Kinds of edges: both columns, the relation, and whether a fact states it, only shows both together, or lets one suppose it.
+EDGES = (
+    ("user", "src", "logs_on_from", "explicit"), ("user", "host", "uses", "explicit"), ("src", "dst", "talks_to", "explicit"), ("host", "template", "writes", "explicit"), ("user", "process", "runs", "explicit"),
+    ("process", "parent", "started_by", "explicit"), ("host", "process", "holds", "explicit"), ("process", "file", "touches", "contextual"), ("src", "domain", "asks_for", "contextual"), ("user", "session", "has", "contextual"), ("session", "src", "may_come_from", "hypothetical"),
+)
+
+
 def graph(facts: DataFrame) -> DataFrame:
-    """Temporal edges: left_kind, left, relation, right_kind, right, n, first, last."""
-    edges = [("user", "src", "logs_on_from"), ("user", "host", "uses"), ("src", "dst", "talks_to"), ("host", "template", "writes")]
-    there = [(a, b, r) for a, b, r in edges if a in facts.columns and b in facts.columns]
-    rows = facts.select("ts", F.explode(F.array(*[F.struct(F.lit(a).alias("left_kind"), F.col(a).cast("string").alias("left"), F.lit(r).alias("relation"), F.lit(b).alias("right_kind"), F.col(b).cast("string").alias("right")) for a, b, r in there])).alias("e"))
-    return rows.select("ts", "e.*").where("left is not null and right is not null").groupBy("left_kind", "left", "relation", "right_kind", "right").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    """Temporal edges between the entities that stand in one fact: left_kind, left, relation, right_kind, right, quality, n, first, last."""
+    there = [(a, b, r, q) for a, b, r, q in EDGES if a in facts.columns and b in facts.columns]
+    rows = facts.select("ts", F.explode(F.array(*[F.struct(F.lit(a).alias("left_kind"), F.col(a).cast("string").alias("left"), F.lit(r).alias("relation"), F.lit(b).alias("right_kind"), F.col(b).cast("string").alias("right"), F.lit(q).alias("quality")) for a, b, r, q in there])).alias("e"))
+    return rows.select("ts", "e.*").where("left is not null and right is not null").groupBy("left_kind", "left", "relation", "right_kind", "right", "quality").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))

@@ -230,6 +230,29 @@ def threat_scan(events: DataFrame, text: Column, threats: Sequence[tuple[str, st
     return events.withColumn("t", F.explode(hits)).select("*", "t.*").drop("t")
 
 
+def threat_condition(events: DataFrame, threat: str, threats: Sequence[tuple[str, str, str, str]] = THREATS) -> Column:
+    """Whether an event's message or raw text holds a threat text."""
+    from logweave.events import column_of
+    from logweave.operators.roles import deobfuscate
+
+    patterns = [p for i, _, _, p in threats if i == threat]
+    if not patterns:
+        raise ValueError(f"unknown threat {threat!r}")
+    text = F.concat_ws("\n", column_of(events, "message").cast("string"), column_of(events, "raw").cast("string"))
+    return F.concat_ws("\n", F.lower(text), deobfuscate(text)).rlike(patterns[0])
+
+
+def selects(events: DataFrame, name: str, rules: Sequence[dict] = BASE) -> Column:
+    """Whether some step or condition of a rule selects an event; the rule's facts are columns (``flat``) or fields."""
+    rule = next((r for r in rules if r["id"] == name), None)
+    if rule is None:
+        raise ValueError(f"unknown rule {name!r}")
+    out = F.lit(False)
+    for where in _steps(events, rule) if "steps" in rule else [_where(events, rule)]:
+        out = out | F.coalesce(where, F.lit(False))
+    return out
+
+
 def themes(findings: DataFrame, buckets: int = 24) -> DataFrame:
     """Findings by technique (the part of the rule's id before the first dash) and by one of ``buckets`` equal spans of the time they cover: theme, start, n."""
     span = findings.agg(F.min("first").alias("a"), F.max("first").alias("b")).first()

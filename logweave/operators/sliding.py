@@ -51,7 +51,7 @@ def with_distinct(df: DataFrame, by: Sequence[str], width: int, column: str, nam
     # a span that is not joined by the next row ends: written by that next row, and by the last row of each value
     ended = seen.where(~again).select(*by, (F.col("__last") + width).alias("ts")).unionByName(seen.groupBy(*by, "__value").agg((F.max("ts") + width).alias("ts")).select(*by, "ts"))
     ended = ended.select(*by, "ts", F.lit(2).alias("__kind"), F.lit(-1).alias("__step"))
-    row = F.struct(*df.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     rows = df.select(*by, "ts", F.lit(1).alias("__kind"), F.lit(0).alias("__step"), row.alias("__row"))
     steps = begun.unionByName(ended).groupBy(*by, "ts", "__kind").agg(F.sum("__step").cast("int").alias("__step"))
     both = rows.unionByName(steps.withColumn("__row", F.lit(None).cast(rows.schema["__row"].dataType)))

@@ -53,8 +53,13 @@ def check(df: DataFrame, sql: str) -> None:
 def execute(events: DataFrame, sql: str) -> DataFrame:
     """The result of a checked query over ``events``, in a session of its own, so that views of others aren't seen."""
     check(events, sql)
-    events.createOrReplaceTempView("events")
-    out = events.sparkSession.sql(sql.rstrip().rstrip(";"))
+    # a new session of the same context: its view is seen by no other, and a caller's view of that name stays
+    own = events.sparkSession.newSession()
+    for name in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.sql.ansi.enabled"):
+        own.conf.set(name, events.sparkSession.conf.get(name))
+    plan = own._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, events._jdf.queryExecution().logical())
+    DataFrame(plan, own).createOrReplaceTempView("events")
+    out = own.sql(sql.rstrip().rstrip(";"))
     if len(out.columns) > MAX_COLUMNS:
         raise Refused("too many columns")
     return out

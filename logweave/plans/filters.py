@@ -50,6 +50,10 @@ def condition(df: DataFrame, f: Filter) -> Column:
         from logweave.plans.language import compile_query
 
         return compile_query(df, f.value)
+    if f.op in ("threat_rule", "detection"):
+        from logweave.operators.rules import selects, threat_condition
+
+        return threat_condition(df, f.value) if f.op == "threat_rule" else selects(df, f.value)
     if f.column == "_all":
         c = F.concat_ws("\n", column_of(df, "message"), column_of(df, "raw"))
     else:
@@ -107,8 +111,19 @@ def compile_filters(df: DataFrame, filters: list[Filter]) -> Column:
     return out
 
 
-def apply(df: DataFrame, *filters: Filter) -> DataFrame:
-    return df.where(compile_filters(df, list(filters)))
+def apply(df: DataFrame, *filters: Filter, results: DataFrame | None = None) -> DataFrame:
+    """Events that pass all filters.
+
+    A filter ``finding`` or ``episode`` keeps the members of a computed result: ``results`` has event_ref (or id) and the column
+    ``finding`` or ``episode``; the members may be many, so Spark chooses how to join.
+    """
+    for f in filters:
+        if f.op in ("finding", "episode"):
+            if results is None:
+                raise ValueError(f"a filter {f.op} needs the computed results")
+            key = "event_ref" if "event_ref" in results.columns and "event_ref" in df.columns else "id"
+            df = df.join(results.where(F.col(f.op) == f.value).select(key).distinct(), key, "left_semi")
+    return df.where(compile_filters(df, [f for f in filters if f.op not in ("finding", "episode")]))
 
 
 def without_excluded(df: DataFrame, excluded: DataFrame, key: str = "event_ref") -> DataFrame:

@@ -23,8 +23,9 @@ from logweave.functions.units import num_unit, parse_number
 # Columns whose values are searched by substring, aliases of columns, and words of the operators.
 TEXT_COLUMNS = ("message", "description", "name", "raw")
 ALIASES = {"origem": "source", "nivel": "level", "nível": "level", "codigo": "code", "código": "code", "mensagem": "message", "usuario": "user",
-           "usuário": "user", "nome": "name", "descricao": "description", "tempo": "ts", "timestamp": "ts", "arquivo": "part_file"}
+           "usuário": "user", "nome": "name", "descricao": "description", "tempo": "ts", "timestamp": "ts", "arquivo": "part_file", "caminho": "part_path"}
 AND_WORDS, OR_WORDS, NOT_WORDS = ("AND", "E", "&&"), ("OR", "OU", "||"), ("NOT", "NÃO", "NAO", "!")
+MEMBERSHIPS = {"regra": "threat", "deteccao": "rule", "detecção": "rule"}
 LEVEL_WORDS = {"critico": 0, "crítico": 0, "critical": 0, "fatal": 0, "erro": 1, "error": 1, "err": 1, "aviso": 2, "warn": 2, "warning": 2,
                "informacao": 3, "informação": 3, "info": 3, "depuracao": 4, "depuração": 4, "debug": 4, "rastreio": 5, "trace": 5}
 
@@ -225,6 +226,14 @@ class Compiler:
                 return ~F.coalesce(self.compile(node.children[0]), F.lit(False))
             case "text":
                 return self.free(*node.value[0])
+        if node.name.lower() in MEMBERSHIPS and node.op == ":":
+            from logweave.operators.rules import selects, threat_condition
+
+            of = threat_condition if MEMBERSHIPS[node.name.lower()] == "threat" else selects
+            out = F.lit(False)
+            for _, text in node.value:
+                out = out | F.coalesce(of(self.df, text), F.lit(False))
+            return out
         out = F.lit(False)
         plain = [v for k, v in node.value if k in ("word", "phrase") and not is_net(v)]
         key = ALIASES.get(node.name.lower(), node.name)

@@ -354,7 +354,8 @@ def behavior_linked(s, f):
 
 
 @query(f"""{_FACTS}, e as (select 'user' as left_kind, "user" as "left", 'logs_on_from' as relation, 'src' as right_kind, src as "right", ts from fa union all select 'user', "user", 'uses', 'host', host, ts from fa
-    union all select 'src', src, 'talks_to', 'dst', dst, ts from fa) select left_kind, "left", relation, right_kind, "right", count(*) as n, min(ts) as first, max(ts) as last from e group by 1, 2, 3, 4, 5""")
+    union all select 'src', src, 'talks_to', 'dst', dst, ts from fa union all select 'user', "user", 'has', 'session', session, ts from fa union all select 'session', session, 'may_come_from', 'src', src, ts from fa)
+    select left_kind, "left", relation, right_kind, "right", case relation when 'has' then 'contextual' when 'may_come_from' then 'hypothetical' else 'explicit' end as quality, count(*) as n, min(ts) as first, max(ts) as last from e group by 1, 2, 3, 4, 5""")
 def behavior_graph(s, f):
     return B.graph(_facts(s, f).drop("template"))
 
@@ -365,7 +366,7 @@ def behavior_quality(s, f):
 
 
 Q["behavior_quality"] = behavior_quality
-O["behavior_quality"] = "select source, count(*) as n, count_if(coalesce(parse_status, '') <> 'parsed') as unparsed, count_if(coalesce(timestamp, 0) = 0) as undated from event_def group by 1"
+O["behavior_quality"] = "select source, count(*) as n, count_if(coalesce(parse_status, '') <> 'parsed') as unparsed, count_if(coalesce(timestamp, 0) = 0) as undated from (select distinct id, source, parse_status, timestamp from event_def) group by 1"
 
 
 @query(f"{EV} select source as context, code || ' item ‹…› took ‹…› ms from ‹…›' as template, count(*) as n, min(ts) as first from ev group by 1, 2")

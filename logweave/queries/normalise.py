@@ -147,13 +147,14 @@ def rules_findings(s, f):
 _FAILED = "select \"user\" as k, ip, ts, id from sec where number = '4625'"
 
 
-@query(f"""{_SEC}, f as ({_FAILED}), w as (select *, count(*) over (partition by k order by ts range between 600000 preceding and current row) as c from f), h as (select * from w where c >= 5),
-    g as (select *, case when ts - lag(ts) over (partition by k order by ts, id) <= 600000 then 0 else 1 end as b from h), r as (select *, sum(b) over (partition by k order by ts, id) as run from g)
+@query(f"""{_SEC}, f as ({_FAILED}), w as (select *, count(*) over (partition by k order by ts range between 259200000 preceding and current row) as c from f), h as (select * from w where c >= 3),
+    g as (select *, case when ts - lag(ts) over (partition by k order by ts, id) <= 259200000 then 0 else 1 end as b from h), r as (select *, sum(b) over (partition by k order by ts, id) as run from g)
     select 'T1110-guessing' as rule, 'medium' as severity, 2 as evidence, k as entity, min(ts) as first, max(ts) as last, count(*) as n from r group by k, run
-    union all select 'T1078-new-source', 'low', 2, k, ts, ts, 1 from (select "user" as k, ip, ts, row_number() over (partition by "user" order by ts, id) - 1 as prior, row_number() over (partition by "user", ip order by ts, id) as nth from sec where number = '4624') where nth = 1 and prior >= 5""")
+    union all select 'T1078-new-source', 'low', 2, source, ts, ts, 1 from (select source, ts, row_number() over (partition by source order by ts, id) - 1 as prior, row_number() over (partition by source, "user" order by ts, id) as nth from sec where number = '4624') where nth = 1 and prior >= 5""")
 def rules_windows(s, f):
-    """The base rules on counts and on new values."""
-    return rules.run_all(rules.flat(_secured(s, f)), [r for r in rules.BASE if r["kind"] in ("threshold", "new_value")])
+    """The base rules on counts and on new values, with spans and fields that suit events of a month."""
+    own = {"T1110-guessing": {"window": "3d", "count": 3}, "T1078-new-source": {"by": ["host"], "field": "identity"}}
+    return rules.run_all(rules.flat(_secured(s, f)), [r | own[r["id"]] for r in rules.BASE if r["id"] in own])
 
 
 def rules_sequences(s, f):

@@ -26,15 +26,15 @@ def query(sql: str | None = None):
 
 
 for _how, _sql in {"inner": "join", "left": "left join", "right": "right join", "full": "full join"}.items():
-    Q[f"join_{_how}"] = lambda s, f, h=_how: table(s, f, "customer").where("c_custkey % 3 <> 0").join(
-        table(s, f, "orders").where("o_orderkey % 2 = 0"), F.col("c_custkey") == F.col("o_custkey"), h).select("c_custkey", "c_name", "o_orderkey", "o_totalprice")
-    O[f"join_{_how}"] = f"select c_custkey, c_name, o_orderkey, o_totalprice from (select * from customer where c_custkey % 3 <> 0) c {_sql} (select * from orders where o_orderkey % 2 = 0) o on c_custkey = o_custkey"
+    Q[f"join_{_how}"] = lambda s, f, h=_how: table(s, f, "customer").join(
+        table(s, f, "orders"), F.col("c_custkey") == F.col("o_custkey"), h).select("c_custkey", "c_name", "o_orderkey", "o_totalprice")
+    O[f"join_{_how}"] = f"select c_custkey, c_name, o_orderkey, o_totalprice from customer {_sql} orders on c_custkey = o_custkey"
 
 
-for _how, _sql in {"inner": "join", "left": "left join", "right": "right join", "full": "full join"}.items():  # whole tables; the joins above keep the filters of their SQL
-    Q[f"join_{_how}_whole"] = lambda s, f, h=_how: table(s, f, "customer").join(
-        table(s, f, "orders"), F.col("c_custkey") == F.col("o_custkey"), h).select("c_custkey", "c_name", "o_orderkey", "o_totalprice")
-    O[f"join_{_how}_whole"] = f"select c_custkey, c_name, o_orderkey, o_totalprice from customer {_sql} orders on c_custkey = o_custkey"
+for _how, _sql in {"left": "left join", "right": "right join", "full": "full join"}.items():  # rows without a partner on either side
+    Q[f"join_{_how}_open"] = lambda s, f, h=_how: table(s, f, "customer").where("c_acctbal > 0").join(
+        table(s, f, "orders").where("o_orderstatus <> 'F'"), F.col("c_custkey") == F.col("o_custkey"), h).select("c_custkey", "c_name", "o_orderkey", "o_totalprice")
+    O[f"join_{_how}_open"] = f"select c_custkey, c_name, o_orderkey, o_totalprice from (select * from customer where c_acctbal > 0) c {_sql} (select * from orders where o_orderstatus <> 'F') o on c_custkey = o_custkey"
 
 
 @query("select * from customer where c_custkey in (select o_custkey from orders where o_orderstatus = 'P')")

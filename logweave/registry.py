@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from logweave.operators import training
-from logweave.queries import analysis, filtering, normalise, relational, summaries
+from logweave.queries import analysis, filtering, normalise, parity, relational, summaries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_entries": training.p2_entries,
@@ -17,7 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_loaded": training.p6_loaded,
 }
 ORACLE: dict[str, str] = {}
-for module in (filtering, summaries, relational, analysis, normalise):
+for module in (filtering, summaries, relational, analysis, normalise, parity):
     QUERIES |= module.QUERIES
     ORACLE |= module.ORACLE
 

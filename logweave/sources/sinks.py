@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.functions.transforms import mask_personal
@@ -50,3 +50,17 @@ def store(events: DataFrame, path: str) -> None:
 def source_quality(events: DataFrame) -> DataFrame:
     """Records, unparsed and undated ones and the span of each file."""
     return events.groupBy("part_file").agg(F.count("*").alias("records"), F.count_if(F.col("parse_status") != "parsed").alias("unparsed"), F.count_if(F.col("ts").isNull()).alias("undated"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+
+
+def source_hashes(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """SHA-256, bytes and path of each file."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.col("path").alias("part_path"), "length", F.sha2("content", 256).alias("sha256"))
+
+
+def split_many(events: DataFrame, rules: dict[str, Column], folder: str, text: str = "raw") -> None:
+    """Each record to the folder of the first rule that it satisfies, others to ``rest``; one pass, each in its own order."""
+    name = F.lit("rest")
+    for k, rule in reversed(rules.items()):
+        name = F.when(F.coalesce(rule, F.lit(False)), k).otherwise(name)
+    events.select(name.alias("part"), F.col(text).alias("value")).write.mode("error").partitionBy("part").text(folder)
