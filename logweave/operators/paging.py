@@ -58,9 +58,9 @@ def sample(df: DataFrame, n: int, seed: int = 7) -> DataFrame:
     Tasks send only rows whose hash lies in a share of the range that holds about 1.5 samples, so that what is merged
     doesn't grow with the number of tasks; should that leave fewer than n, all rows take part.
     """
-    h = F.xxhash64(F.col("id"), F.lit(seed))
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("id"), F.lit(seed)).cast("binary")), 1, 15), 16, 10).cast("long")  # 60 bits
     share = 1.5 * n / max(df.count(), 1)
-    some = df.where(h < F.lit(int(-(2**63) + share * (2**64 - 1)))) if share < 1 else df
+    some = df.where(h < F.lit(int(share * 2**60))) if share < 1 else df
     if share < 1 and some.count() < n:
         some = df
     return some.orderBy(h, "id").limit(n)

@@ -121,6 +121,9 @@ def detect_travel(s, f):
 
 
 Q["detect_travel"] = detect_travel
+O["detect_travel"] = f"""{EV}, p as (select id, "user", ts, (k % 60)::double as lat, (k % 90)::double as lon, lag(ts) over w as t0, lag((k % 60)::double) over w as lat0, lag((k % 90)::double) over w as lon0 from ev window w as (partition by "user" order by ts, id)),
+    d as (select *, 12742.0176 * asin(sqrt(power(sin(radians(lat - lat0) / 2), 2) + cos(radians(lat0)) * cos(radians(lat)) * power(sin(radians(lon - lon0) / 2), 2))) as km from p)
+    select id, "user", round(km, 3) as km from d where km >= 500 and km > (ts - t0) / 3600000.0 * 1000"""
 
 
 def episodes(s, f):
@@ -131,6 +134,8 @@ def episodes(s, f):
 
 
 Q["episodes"] = episodes
+# a user has one source, so that the findings of a source and day are one episode
+O["episodes"] = f"""{EV}, m as (select distinct "user" || ':' || (ts // 3600000) as finding, source || ':' || (ts // 86400000) as event_ref from ev where code = 'error') select finding, min(finding) over (partition by event_ref) as episode from m"""
 
 
 @query(f"{EV}, e as (select \"user\" as entity, 1 + k % 5 as level from ev where code = 'error' union all select ip, 1 + k % 5 from ev where code = 'error') "
@@ -407,6 +412,8 @@ def learn_cusum(s, f):
 
 
 Q["learn_cusum"] = learn_cusum
+O["learn_cusum"] = f"""{EV}, h as (select source as context, ts // 3600000 as hour, avg(latency) as mean from ev group by 1, 2), z as (select *, (mean - avg(mean) over (partition by context)) / greatest(stddev_pop(mean) over (partition by context), 1e-9) - 0.5 as z from h),
+    s as (select *, sum(z) over (partition by context order by hour rows unbounded preceding) as s from z) select context, hour, round(mean, 4) as mean, round(s - least(0, min(s) over (partition by context order by hour rows unbounded preceding)), 4) as score from s"""
 
 
 @query(f"""{EV}, c as (select code, source, count(*) as n, avg(latency) as m from ev where level <> 'Aviso' group by code, source) select code, source, n, round(m, 4) as mean, rank() over (partition by code order by n desc, source) as place from c where n > 20""")
@@ -491,4 +498,9 @@ def process_tree(s, f):
 
 
 Q["process_tree"] = process_tree
+O["process_tree"] = f"""{EV}, st as (select id, source as host, ts, k % 20 as pid, k % 7 as ppid from ev where code = 'click'), en as (select source as host, ts, k % 20 as pid from ev where code = 'error'), bo as (select source as host, ts from ev where code = 'signup' and k < 5),
+    b as (select st.*, (select max(bo.ts) from bo where bo.host = st.host and bo.ts <= st.ts) as boot, (select min(en.ts) from en where en.host = st.host and en.pid = st.pid and en.ts >= st.ts) as stop from st),
+    p as (select *, least(coalesce(stop, 4611686018427387904), coalesce(lead(ts) over (partition by host, boot, pid order by ts, id), 4611686018427387904)) as fin from b),
+    f as (select c.id, count(p.id) as n, min(p.id) as parent from p c left join p on c.host = p.host and c.boot = p.boot and c.ppid = p.pid and p.ts < c.ts and c.ts < p.fin where c.ppid <> 0 and c.boot is not null group by 1)
+    select p.id, case when f.n = 1 then f.parent end as parent, case when p.ppid = 0 then 'root' when p.boot is null then 'unknown_boot' when f.n = 1 then 'inferred_pid_lifetime' when f.n > 1 then 'ambiguous_pid' else 'missing_pid_parent' end as how from p left join f on f.id = p.id"""
 QUERIES, ORACLE = Q, O

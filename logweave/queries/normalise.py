@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logweave.events import EV_SQL, events_view
-from logweave.functions import formats, maps
+from logweave.functions import formats, maps, text
 from logweave.functions.text import pattern_of
 from logweave.operators import paging, roles, rules
 from logweave.tables import suffix_is, table
@@ -82,6 +82,17 @@ def client_inventory(s, f):
 Q["client_inventory"] = client_inventory
 
 
+def _cases(column: str, table) -> str:
+    return "case " + " ".join(f"when regexp_matches(lower({column}), '{pattern}') then '{name}'" for name, pattern in table) + " end"
+
+
+_VERSION = "(?:edg(?:e|a|ios)?|opr|samsungbrowser|firefox|fxios|chrome|crios|version)/([0-9.]+)"
+O["client_inventory"] = f"""with a as ({O["parse_access_log"]}), v as (select agent, coalesce(nullif(regexp_extract(agent, '{_VERSION}', 1, 'i'), ''), nullif(regexp_extract(agent, '^[\\w.-]+/([0-9.]+)', 1), '')) as version from a where agent is not null),
+    c as (select {_cases("agent", formats.AGENT_FAMILIES)} as class, coalesce({_cases("agent", formats.BROWSERS)}, nullif(regexp_extract(agent, '^([\\w.-]+)/', 1), '')) as family, {_cases("agent", formats.SYSTEMS)} as os,
+      (lower(agent) like '%windows nt%' and lower(agent) like '%iphone%') or (lower(agent) like '%firefox/%' and lower(agent) like '%chrome/%') or coalesce(try_cast(version as double) > 400, false) as odd from v)
+    select class, family, os, count(*) as n, count_if(odd)::bigint as anomalies from c group by 1, 2, 3"""
+
+
 @query("""with d as (select distinct id, part_file, regexp_extract(raw, '^(\\d{1,2})[/.-](\\d{1,2})[/.-]\\d{2,4}', 1) as a, regexp_extract(raw, '^(\\d{1,2})[/.-](\\d{1,2})[/.-]\\d{2,4}', 2) as b from event_def where part_file like '%.csv'),
     n as (select part_file, try_cast(a as int) as a, try_cast(b as int) as b from d), c as (select part_file, count_if(a between 13 and 31 and b between 1 and 12) as x, count_if(b between 13 and 31 and a between 1 and 12) as y from n group by 1)
     select part_file, case when x > y then true when y > x then false end as day_first from c""")
@@ -185,13 +196,6 @@ def threat_scan(s, f):
     return rules.threat_scan(rows.where("text is not null"), F.col("text")).groupBy("threat", "category", "severity").agg(F.count("*").alias("n"))
 
 
-def threat_texts(s, f):
-    """Threat texts in documents and in lines of web servers, repeated rows once; the rows are few, or none."""
-    texts = table(s, f, "documents").select(F.lit("documents").alias("tab"), F.col("doc_id").alias("id"), "text").unionByName(table(s, f, "http_records").select(F.lit("http_records").alias("tab"), F.col("record_id").alias("id"), F.col("line").alias("text")).distinct())
-    return rules.threat_scan(texts.where("text is not null"), F.col("text")).groupBy("tab", "threat", "category", "severity").agg(F.count("*").alias("n"))
-
-
-Q["threat_texts"] = threat_texts
 _MAP = {"rules": [
     {"priority": 5, "selector": {"event_id": "error"}, "mappings": [{"to": "actor", "from": ["user"], "steps": ["strip_prefix:user-", "trim"], "type": "integer"}, {"to": "kind", "from": ["code"], "steps": ["upper"]}]},
     {"priority": 1, "when": "k>=50", "mappings": [{"to": "actor", "from": ["missing", "ip"], "type": "ip"}, {"to": "kind", "from": ["size"], "type": "decimal", "on_invalid": "keep", "on_missing": "default", "default": "none"}]},
@@ -235,4 +239,5 @@ def document_patterns(s, f):
 
 
 Q["document_patterns"] = document_patterns
+O["document_patterns"] = f"select substr(regexp_replace(split_part(text, chr(10), 1), '{text._MASKED}', '{text.MASK}', 'g'), 1, {text.PATTERN_CHARS}) as pattern, count(*) as n from documents where text is not null group by 1 having count(*) >= 2"
 QUERIES, ORACLE = Q, O
