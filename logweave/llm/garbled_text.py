@@ -204,9 +204,11 @@ def _counted(texts: DataFrame, model: Bigrams | None) -> Bigrams:
     What comes to the driver is bounded by the model's alphabet (symbols below U+3000 and one a block), not by the rows.
     """
 
+    sent = texts.sparkSession.sparkContext.broadcast((model.pairs, model.firsts)) if model else None
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pairs, firsts = Counter(), Counter()
-        restorer = Restorer(model) if model else None
+        restorer = Restorer(Bigrams(*sent.value)) if sent else None
         for b in batches:
             texts = b["text"].tolist()
             if restorer:
@@ -232,10 +234,10 @@ def restored(rows: DataFrame, text: str, model: Bigrams) -> DataFrame:
 
     Null and empty texts are clean; texts of any length are read whole; repeated rows are judged alike.
     """
-    pairs, firsts = model.pairs, model.firsts
+    sent = rows.sparkSession.sparkContext.broadcast((model.pairs, model.firsts))  # once an executor; bounded by the model's alphabet
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        restorer = Restorer(Bigrams(pairs, firsts))
+        restorer = Restorer(Bigrams(*sent.value))
         for s in batches:
             yield pd.Series([restorer.restore(t) if t else None for t in s.tolist()], dtype=object)
 
