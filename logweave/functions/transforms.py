@@ -164,7 +164,7 @@ def _xml_value(e: ET.Element, depth: int, left: list[int]):
             out[name].append(value)
         else:
             out[name] = [out[name], value]
-    text = (e.text or "").strip()
+    text = " ".join(x.strip() for x in [e.text, *(y.tail for y in e)] if x and x.strip())
     if not out:
         return text
     return out | {"#text": text} if text else out

@@ -86,9 +86,9 @@ def cusum(df: DataFrame, context: str, number: str, slack: float = 0.5) -> DataF
 def joint_novelty(df: DataFrame, context: str, a: str, b: str, rare: int = 2, common: int = 10) -> DataFrame:
     """Events in which two values meet that are common by themselves but hardly ever together: id, n (events of the pair), score.
 
-    score: how many times rarer the pair is than if the values met by chance, in bits.
+    score: how many times rarer the pair is than if the values met by chance, in bits.  Rows with a null context or value are left out.
     """
-    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select("id", F.col(context).alias("c"), F.col(a).alias("a"), F.col(b).alias("b"))
+    rows = df.where(F.col(context).isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull()).select("id", F.col(context).alias("c"), F.col(a).alias("a"), F.col(b).alias("b"))
     pairs = rows.groupBy("c", "a", "b").agg(F.count("*").alias("n"))
     # marginals come from the pairs' counts: the events themselves aren't counted again
     pairs = pairs.withColumn("na", F.sum("n").over(Window.partitionBy("c", "a"))).withColumn("nb", F.sum("n").over(Window.partitionBy("c", "b"))).withColumn("all", F.sum("n").over(Window.partitionBy("c")))

@@ -181,6 +181,10 @@ def map_sources(events: DataFrame, mapping: list[dict]) -> DataFrame:
     """Events with fields named and scaled as a user declares by source: source (an expression), fields {name: {from, factor}}; the first mapping that fits holds."""
     own = F.coalesce("fields", F.expr("map()").cast("map<string,string>"))
     made = own
+
+    def over(new: Column) -> Column:
+        return F.map_concat(F.map_filter(own, lambda k, _: ~F.map_contains_key(new, k)), new)
+
     for m in reversed(mapping):
         entries = []
         for name, how in m["fields"].items():
@@ -189,6 +193,5 @@ def map_sources(events: DataFrame, mapping: list[dict]) -> DataFrame:
                 value = F.coalesce((value.try_cast("double") * how["factor"]).cast("string"), value)
             entries += [F.lit(name), value]
         new = F.map_filter(F.create_map(*entries), lambda _, v: v.isNotNull())
-        both = F.map_concat(F.map_filter(own, lambda k, _, n=new: ~F.map_contains_key(n, k)), new)
-        made = F.when(F.coalesce(F.col("source"), F.lit("")).rlike(m["source"]), both).otherwise(made)
+        made = F.when(F.coalesce(F.col("source"), F.lit("")).rlike(m["source"]), over(new)).otherwise(made)
     return events.withColumn("fields", made)
