@@ -6,6 +6,8 @@
 
 from __future__ import annotations
 
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,13 +95,25 @@ def coverage(df: DataFrame, definition: dict) -> DataFrame:
     return got.select("total", F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(f"__{k}").alias("filled")) for k, n in enumerate(names)])).alias("x")).select("x.field", "x.filled", "total")
 
 
-def spans(c: Column, pattern: str) -> Column:
-    """All matches of an expression in a text: array of (start, end, text), found left to right."""
-    parts = F.regexp_extract_all(c, F.lit(f"({pattern})"), F.lit(1))
-    start = F.struct(F.lit(0).alias("at"), F.expr("array()").cast("array<struct<start:int,end:int,text:string>>").alias("out"))
-
-    def add(a: Column, t: Column) -> Column:
-        k = F.instr(F.substring(c, a["at"] + 1, F.length(c)), t) + a["at"] - 1
-        return F.struct((k + F.length(t)).alias("at"), F.concat(a["out"], F.array(F.struct(k.alias("start"), (k + F.length(t)).alias("end"), t.alias("text")))).alias("out"))
-
-    return F.aggregate(parts, start, add, lambda a: a["out"])
+def spans(c: Column, pattern: str, ignore_case: bool = False) -> Column:
+    """Places of an expression's matches: start, end (characters), start16, end16 (UTF-16 units), text, groups; null for null.
+
+    Looked for batch by batch, so that lookarounds and word borders hold as in the whole text; empty matches are left out.
+    """
+    compiled = regex.compile(pattern, regex.I if ignore_case else 0)
+
+    def run(s: pd.Series) -> pd.Series:
+        out = []
+        for t in s.tolist():
+            if t is None:
+                out.append(None)
+                continue
+            found = []
+            for m in compiled.finditer(t):
+                if m[0]:
+                    a = m.start() + sum(x > "\uffff" for x in t[: m.start()])
+                    found.append((m.start(), m.end(), a, a + len(m[0]) + sum(x > "\uffff" for x in m[0]), m[0], list(m.groups())))
+            out.append(found)
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(run, "array<struct<start: int, end: int, start16: int, end16: int, text: string, groups: array<string>>>")(c)

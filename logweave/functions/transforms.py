@@ -23,6 +23,13 @@ GROK = {
     "USERNAME": r"[a-zA-Z0-9._-]+", "USER": r"%{USERNAME}", "QUOTEDSTRING": r'"(?:[^"\\]|\\.)*"', "QS": r"%{QUOTEDSTRING}", "PATH": r"(?:/[^\s?]*)+", "URIPATH": r"(?:/[^\s?#]*)+",
     "LOGLEVEL": r"(?:[Tt]race|TRACE|[Dd]ebug|DEBUG|[Ii]nfo|INFO|[Nn]otice|NOTICE|[Ww]arn(?:ing)?|WARN(?:ING)?|[Ee]rr(?:or)?|ERR(?:OR)?|[Cc]rit(?:ical)?|CRIT(?:ICAL)?|[Ff]atal|FATAL)",
     "YEAR": r"[0-9]{4}", "MONTHNUM": r"(?:0[1-9]|1[0-2])", "MONTHDAY": r"(?:0[1-9]|[12][0-9]|3[01]|[1-9])", "TIME": r"[0-9]{2}:[0-9]{2}:[0-9]{2}(?:[.,][0-9]+)?",
+    "NONNEGINT": r"\b[0-9]+\b", "BASE10NUM": r"%{NUMBER}", "MONTH": r"\b(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\b",
+    "DAY": r"\b(?:Mon(?:day)?|Tue(?:sday)?|Wed(?:nesday)?|Thu(?:rsday)?|Fri(?:day)?|Sat(?:urday)?|Sun(?:day)?)\b", "HOUR": r"(?:2[0-3]|[01]?[0-9])", "MINUTE": r"[0-5][0-9]", "SECOND": r"(?:[0-5]?[0-9]|60)(?:[.,][0-9]+)?",
+    "DATE_US": r"%{MONTHNUM}[/-]%{MONTHDAY}[/-]%{YEAR}", "DATE_EU": r"%{MONTHDAY}[./-]%{MONTHNUM}[./-]%{YEAR}", "DATE": r"(?:%{DATE_US}|%{DATE_EU})", "DATESTAMP": r"%{DATE}[- ]%{TIME}", "ISO8601_TIMEZONE": r"(?:Z|[+-]%{HOUR}(?::?%{MINUTE}))", "TZ": r"[A-Z]{3,4}",
+    "SYSLOGTIMESTAMP": r"%{MONTH} +%{MONTHDAY} %{TIME}", "HTTPDATE": r"%{MONTHDAY}/%{MONTH}/%{YEAR}:%{TIME} %{INT}", "PROG": r"[^\s\[\]:]+", "SYSLOGPROG": r"%{PROG}(?:\[%{POSINT}\])?", "SYSLOGHOST": r"%{IPORHOST}", "HOSTPORT": r"%{IPORHOST}:%{POSINT}",
+    "EMAILLOCALPART": r"[a-zA-Z0-9_.+=:-]+", "EMAILADDRESS": r"%{EMAILLOCALPART}@%{HOSTNAME}", "HTTPDUSER": r"(?:%{EMAILADDRESS}|%{USER})", "MAC": r"(?:[A-Fa-f0-9]{2}[:-]){5}[A-Fa-f0-9]{2}|(?:[A-Fa-f0-9]{4}\.){2}[A-Fa-f0-9]{4}", "COMMONMAC": r"(?:[A-Fa-f0-9]{2}:){5}[A-Fa-f0-9]{2}",
+    "URIPROTO": r"[A-Za-z][A-Za-z0-9+.-]+", "URIHOST": r"%{IPORHOST}(?::%{POSINT})?", "URIPARAM": r"\?[^\s#]*", "URIPATHPARAM": r"%{URIPATH}(?:%{URIPARAM})?", "URI": r"%{URIPROTO}://(?:%{USER}(?::[^@\s]*)?@)?(?:%{URIHOST})?(?:%{URIPATHPARAM})?",
+    "UNIXPATH": r"(?:/[\w.,+@%-]*)+", "WINPATH": r"(?:[A-Za-z]:|\\)(?:\\[^\\?*\s]*)+", "TTY": r"/dev/(?:pts|tty[pq]?)(?:\w+)?/?\d*", "URN": r"urn:[0-9A-Za-z][0-9A-Za-z-]{0,31}:\S+", "BASE16FLOAT": r"[+-]?(?:0x)?[0-9A-Fa-f]+(?:\.[0-9A-Fa-f]*)?",
     "TIMESTAMP_ISO8601": r"%{YEAR}-%{MONTHNUM}-%{MONTHDAY}[T ]%{TIME}(?:Z|[+-][0-9]{2}:?[0-9]{2})?",
 }
 

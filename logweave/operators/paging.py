@@ -35,8 +35,14 @@ def keyset_page(df: DataFrame, after: tuple[int, int] | None, descending: bool =
     """The page after the cursor (ts, id): only rows beyond it are sorted, and the sort keeps no more than the page."""
     t = F.coalesce("ts", F.lit(0))
     if after:
-        beyond = t < after[0] if descending else t > after[0]
-        df = df.where(beyond | ((t == after[0]) & (F.col("id") > after[1])))
+        # on the plain column, so that it reaches the scan; undated events count as 0
+        at, ts, none = after[0], F.col("ts"), F.col("ts").isNull()
+        beyond, tied = (ts < at if descending else ts > at), ts == at
+        if (0 < at) if descending else (0 > at):
+            beyond = beyond | none
+        if at == 0:
+            tied = tied | none
+        df = df.where(beyond | (tied & (F.col("id") > after[1])))
     return df.orderBy(F.desc(t) if descending else F.asc(t), "id").limit(limit)
 
 
@@ -74,3 +80,37 @@ def context(df: DataFrame, part_file: str, at: int, radius: int = 20, order: str
 def search_buckets(df: DataFrame, hit: Column, width: int) -> DataFrame:
     """Hits by time bucket, for a search that shows where its hits lie: start, hits."""
     return df.where(F.coalesce(hit, F.lit(False)) & F.col("ts").isNotNull()).groupBy((F.col("ts") - F.pmod("ts", F.lit(width))).alias("start")).agg(F.count("*").alias("hits"))
+
+
+def context_seconds(df: DataFrame, ident: int, seconds: int, same: str = "") -> DataFrame:
+    """Events within ``seconds`` of an event, of all or only those that agree with it in the column ``same``, in order of time."""
+    one = df.where(F.col("id") == ident).select("ts", *([same] if same else [])).first()
+    if one is None or one["ts"] is None:
+        return df.limit(0)
+    rows = df.where(F.col("ts").between(one["ts"] - seconds * 1000, one["ts"] + seconds * 1000))
+    return (rows.where(F.col(same).eqNullSafe(F.lit(one[same]))) if same else rows).orderBy("ts", "id")
+
+
+def combined(op: str, first: DataFrame, *others: DataFrame, key: str = "id") -> DataFrame:
+    """Ids of selections put together: ``and`` (in all), ``or`` (in any), ``not`` (in the first and in none of the others)."""
+    out = first.select(key).distinct()
+    for other in others:
+        ids = other.select(key)
+        match op:
+            case "and":
+                out = out.join(ids, key, "left_semi")
+            case "or":
+                out = out.unionByName(ids).distinct()
+            case "not":
+                out = out.join(ids, key, "left_anti")
+            case _:
+                raise ValueError(f"unknown operation {op!r}")
+    return out
+
+
+def search_page(df: DataFrame, hit: Column, size: int, after: tuple[int, int] | None = None) -> DataFrame:
+    """The next hits in order of (ts, id) after a cursor, the last hit's (ts, id) of the page before; undated hits aren't shown."""
+    rows = df.where(F.coalesce(hit, F.lit(False)) & F.col("ts").isNotNull())
+    if after is not None:
+        rows = rows.where((F.col("ts") > after[0]) | ((F.col("ts") == after[0]) & (F.col("id") > after[1])))
+    return rows.orderBy("ts", "id").limit(size)

@@ -251,3 +251,21 @@ def compile_query(df: DataFrame, text: str) -> Column:
 
 def search(df: DataFrame, text: str) -> DataFrame:
     return df.where(compile_query(df, text))
+
+
+def required_words(node: Node) -> list[str]:
+    """ASCII words that every text that fits holds somewhere, in lower case: what can be told from the lines before they are parsed."""
+    if node.kind == "and":
+        return [w for x in node.children for w in required_words(x)]
+    plain = node.kind == "text" or node.kind == "field" and node.op in (":", "=") and len(node.value) == 1 and node.name.lower() not in (*MEMBERSHIPS, "level", "nivel", "nível")
+    if plain and node.value[0][0] in ("word", "phrase") and re.fullmatch(r"[A-Za-z_]{2,}", node.value[0][1]):
+        return [node.value[0][1].lower()]
+    return []
+
+
+def prefiltered(lines: DataFrame, text: str, line: str = "line") -> DataFrame:
+    """Lines that may hold events of a query: those without one of its required words can't; what may be written otherwise stays."""
+    out = lines
+    for w in required_words(Parser(text).parse()) if text.strip() else []:
+        out = out.where(F.contains(F.lower(F.col(line)), F.lit(w)) | F.col(line).contains("\\u") | F.col(line).contains("%"))
+    return out

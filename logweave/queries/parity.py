@@ -12,11 +12,11 @@ from logweave.functions import transforms as T
 from logweave.operators import aggregates as A
 from logweave.operators import behavior as B
 from logweave.operators import learning as L
-from logweave.operators import roles, rules, sliding
+from logweave.operators import paging, roles, rules, sliding
 from logweave.operators.aggregates import Measure as M
 from logweave.plans import filters as P
 from logweave.plans.filters import Filter
-from logweave.plans.language import search
+from logweave.plans.language import prefiltered, search
 from logweave.queries.normalise import _SEC, _secured
 from logweave.session import ensure_checkpoint_dir
 
@@ -134,6 +134,36 @@ def filter_finding(s, f):
     return P.apply(ev, Filter("", "finding", top["source"] if top else ""), results=results).select("id")
 
 
+@query(f"{EV} select id from ev where code = 'error' and k < 30 and source <> 'source-3'")
+def set_selections(s, f):
+    """Selections put together by their ids."""
+    ev = events_view(s, f)
+    return paging.combined("not", paging.combined("and", ev.where("code = 'error'"), ev.where("k < 30")), ev.where("source = 'source-3'"))
+
+
+@query(f"{EV}, o as (select ts, source from ev where id = 500) select ev.id from ev, o where ev.source = o.source and ev.ts between o.ts - 7200000 and o.ts + 7200000")
+def context_seconds(s, f):
+    return paging.context_seconds(events_view(s, f), 500, 7200, "source").select("id")
+
+
+@query(f"{EV}, h as (select id, ts from ev where contains(message, 'item 3')), c as (select id, ts from h order by ts, id limit 1 offset 49) select h.id, h.ts from h, c where h.ts > c.ts or h.ts = c.ts and h.id > c.id order by h.ts, h.id limit 40")
+def search_page(s, f):
+    """The second page of a search, after the cursor of the first."""
+    ev, hit = events_view(s, f), F.contains(F.col("message"), F.lit("item 3"))
+    last = paging.search_page(ev, hit, 50).collect()[-1]
+    return paging.search_page(ev, hit, 40, (last["ts"], last["id"])).select("id", "ts")
+
+
+@query(f"{EV} select id from ev where code = 'purchase' and contains(message, 'item')")
+def lang_prefilter(s, f):
+    """Lines are dropped by the words that a query requires before they are parsed."""
+    ev = events_view(s, f)
+    lines = ev.select(F.to_json(F.struct("id", "code", "message")).alias("line"))
+    kept = prefiltered(lines, "code:purchase item")
+    rows = kept.select(F.from_json("line", "id long, code string, message string").alias("r")).select("r.*")
+    return search(rows, "code:purchase item").select("id")
+
+
 # ---- behaviour, learning ----
 @query(f"""{EV}, e as (select id, ts, "user", code from ev), t as (select c.id as third_id, c.ts as third, c."user", arg_max(b.id, (b.ts, a.ts, a.id, b.id)) as second_id, arg_max(a.id, (b.ts, a.ts, a.id, b.id)) as first_id, arg_max(a.ts, (b.ts, a.ts, a.id, b.id)) as first
       from e a join e b on a."user" = b."user" and a.ts < b.ts join e c on b."user" = c."user" and b.ts < c.ts where a.code = 'signup' and b.code = 'error' and c.code = 'purchase' group by 1, 2, 3)

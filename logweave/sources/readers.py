@@ -83,6 +83,14 @@ def read_lines(spark: SparkSession, path: str | list[str], encoding: str = "auto
     return rows.select(F.col("_metadata.file_name").alias("part_file"), F.col("_metadata.file_path").alias("part_path"), F.col("_metadata.file_block_start").alias("block"), place.alias("line_no"), line.alias("line"))
 
 
+def text_page(spark: SparkSession, path: str, start: int = 0, size: int = 200, needle: str = "", encoding: str = "auto") -> DataFrame:
+    """Lines of one file from a place on, in order, or of them those that hold ``needle``: paging and search without reading the file into events."""
+    rows = read_lines(spark, path, encoding).where(F.col("line_no") >= start)
+    if needle:
+        rows = rows.where(F.contains(F.lower("line"), F.lit(needle.lower())))
+    return rows.orderBy("line_no").limit(size)
+
+
 def _any(fields: Column, names) -> Column:
     return F.coalesce(*[F.try_element_at(fields, F.lit(n)) for n in names])
 

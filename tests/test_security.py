@@ -71,7 +71,9 @@ def test_maps(spark):
     one = lambda c: df.select(c).first()[0]
     assert one(maps.value_step(F.col("h"), "hex_to_int")) == "31" and one(maps.typed(F.col("b"), "boolean")) == "true" and one(maps.typed(F.col("d"), "datetime")).startswith("2024-01-02T03:04:05")
     assert one(maps.value_step(F.col("s"), "replace:--:+")) == "a+b" and one(maps.value_step(F.col("s"), "strip_suffix:-b")) == "a-" and one(maps.typed(F.col("s"), "integer")) is None
-    assert [tuple(x) for x in one(maps.spans(F.col("s"), "[ab]"))] == [(0, 1, "a"), (3, 4, "b")] and one(maps.spans(F.col("n"), "x")) is None
+    got = one(maps.spans(F.col("s"), "([ab])(?=-|$)"))
+    assert [(x["start"], x["end"], x["text"], x["groups"]) for x in got] == [(0, 1, "a", ["a"]), (3, 4, "b", ["b"])] and one(maps.spans(F.col("n"), "x")) is None
+    assert [(x["start"], x["end"], x["start16"], x["end16"]) for x in one(maps.spans(F.lit("🔧x🔧"), "x🔧"))] == [(1, 3, 2, 5)]
     with pytest.raises(ValueError):
         maps.typed(F.col("s"), "odd")
 
