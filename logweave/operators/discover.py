@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from logweave.operators.aggregates import ERRORS, percentiles, unpivot
 from logweave.operators.joins import sized
+from logweave.operators.ordered import with_running
 
 
 def categories(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -175,11 +176,16 @@ def journey_fields(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def run_shapes(df: DataFrame, run: str, stage: str, longest: int = 1000) -> DataFrame:
-    """The ordered stages of each run as one text: run, shape, first, last, stages, failed.  Runs beyond ``longest`` stages are cut off there."""
-    w = Window.partitionBy(run).orderBy("ts", "id")
-    rows = df.where("ts is not null").withColumn("r", F.row_number().over(w))
+    """The ordered stages of each run as one text: run, shape, first, last, stages, failed.
+
+    Of a run beyond ``longest`` stages the shape has the first of them and a sum over the hashes of all (place, stage), so that only equal runs
+    have equal shapes.
+    """
+    rows = with_running(df, [run], F.lit(1), "r")
     kept = rows.where(F.col("r") <= longest).groupBy(run).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", F.col(stage).alias("s")))), lambda x: x["s"]), ">").alias("shape"))
     whole = df.where("ts is not null").groupBy(run).agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("stages"), F.max(F.col("level").isin(*ERRORS)).alias("failed"))
+    marks = rows.groupBy(run).agg(F.when(F.count("*") > longest, F.hex(F.sum(F.xxhash64("r", stage).bitwiseAND((1 << 40) - 1)))).alias("mark"))
+    kept = kept.join(marks, run).withColumn("shape", F.concat("shape", F.when(F.col("mark").isNotNull(), F.concat(F.lit(">…"), "mark")).otherwise(""))).drop("mark")
     return kept.join(whole, run)
 
 

@@ -114,15 +114,21 @@ def bridges(rows: DataFrame, width: int = 3_600_000, most: int | None = 64) -> D
     return pairs.groupBy("mid", "from", "to").agg(F.sum(F.col("c1") * F.col("c2")).alias("n"), F.min("t1").alias("first"))
 
 
-def ancestors(links: DataFrame, child: str, parent: str, depth: int = 128) -> DataFrame:
-    """(node, ancestor, distance) of a forest by doubling: log2(depth) joins; cycles end at the depth."""
-    reach = links.where(F.col(parent).isNotNull()).select(F.col(child).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("distance"))
-    step = 1
-    while step < depth:
+def ancestors(links: DataFrame, child: str, parent: str, depth: int | None = None) -> DataFrame:
+    """(node, ancestor, distance) by doubling, in rounds that grow with the logarithm of the longest chain.
+
+    Each pair comes once, with the shortest distance, so that cycles end when they have been gone around; ``depth`` leaves farther ancestors out.
+    """
+    from logweave.session import cut
+
+    reach = links.where(F.col(parent).isNotNull() & F.col(child).isNotNull()).select(F.col(child).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("distance"))
+    reach, step = cut(reach.distinct()), 1
+    while depth is None or step < depth:
         far = reach.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("further"), F.col("distance").alias("more"))
         longer = reach.where(F.col("distance") == step).join(far, "ancestor").select("node", F.col("further").alias("ancestor"), (F.lit(step) + F.col("more")).alias("distance"))
+        longer = cut(longer.groupBy("node", "ancestor").agg(F.min("distance").alias("distance")).join(reach.select("node", "ancestor"), ["node", "ancestor"], "left_anti"))
         if longer.isEmpty():
             break
-        reach = reach.unionByName(longer).dropDuplicates(["node", "ancestor"])
+        reach = reach.unionByName(longer)
         step *= 2
-    return reach.where(F.col("distance") <= depth)
+    return reach if depth is None else reach.where(F.col("distance") <= depth)

@@ -152,7 +152,14 @@ def test_joins(spark):
     seen = spark.createDataFrame([(1, "evil.example"), (2, "good.example"), (3, None)], "id int, d string")
     assert ids(indicator_match(seen, "d", ioc)) == [1]
     chain = spark.createDataFrame([(k, k - 1 if k else None) for k in range(20)], "c long, p long")
-    assert ancestors(chain, "c", "p").count() == 190
+    assert ancestors(chain, "c", "p").count() == 190 and ancestors(chain, "c", "p", 4).count() == 70
+    long = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(None, 5), (7, None)], "c int, p int")
+    assert ancestors(long.where("c = 0 or c > 0 or c is null"), "c", "p").where("node = 0").count() == 300
+    ring = spark.createDataFrame([(k, (k + 1) % 5) for k in range(5)], "c int, p int")
+    assert {(r["node"], r["ancestor"]) for r in ancestors(ring, "c", "p").collect()} == {(a, b) for a in range(5) for b in range(5)}
+    runs = spark.createDataFrame([(k, k, f"r{k % 2}", "Erro", "a" if k != 59 else "b") for k in range(60)], "id long, ts long, run string, level string, code string")
+    shapes = {r["shape"] for r in X.run_shapes(runs, "run", "code", 10).collect()}
+    assert len(shapes) == 2 and all(x.startswith(">".join("a" * 10) + ">…") for x in shapes)
 
 
 def test_shifts_within_a_context(spark):
