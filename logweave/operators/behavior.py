@@ -166,6 +166,23 @@ EDGES = (
 )
 
 
+#: Packs of linked behaviour: name, first and second action, link keys, span.
+PACKS = (
+    ("account_then_membership", "account_create", "group_member_add", ("host",), HOUR), ("download_then_run", "file_create", "process_start", ("host",), 10 * 60_000), ("script_then_connection", "script_execution", "network_connection", ("host",), 10 * 60_000),
+    ("logon_then_clear", "logon", "log_clear", ("user", "host"), HOUR), ("service_then_connection", "service_install", "network_connection", ("host",), HOUR), ("request_then_process", "http_request", "process_start", ("host",), 60_000),
+)
+
+
+def packs(facts: DataFrame, which=PACKS) -> DataFrame:
+    """Linked pairs of all packs: pack, link, first_id, second_id, first_ts, second_ts."""
+    out = None
+    for name, first, second, keys, width in which:
+        got = linked_pair(facts, first, second, list(keys), width)
+        got = got.select(F.lit(name).alias("pack"), F.concat_ws(" / ", *keys).alias("link"), "first_id", "second_id", "first_ts", "second_ts")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 def graph(facts: DataFrame) -> DataFrame:
     """Temporal edges between the entities that stand in one fact: left_kind, left, relation, right_kind, right, quality, n, first, last."""
     there = [(a, b, r, q) for a, b, r, q in EDGES if a in facts.columns and b in facts.columns]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.events import LEVELS, column_of
@@ -72,6 +72,14 @@ def sample(df: DataFrame, n: int, seed: int = 7) -> DataFrame:
     return some.orderBy(h, "id").limit(n)
 
 
+def stratified(df: DataFrame, column: Column, n: int, seed: int = 7) -> DataFrame:
+    """Of each value of a column (a level, a shape) the ``n`` rows of smallest hash; each of 64 shares of a value keeps n first, so that no value is one task."""
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("id"), F.lit(seed)).cast("binary")), 1, 15), 16, 10).cast("long")
+    rows = df.withColumns({"__v": column, "__h": h}).withColumn("__p", F.pmod("__h", F.lit(64)))
+    rows = rows.withColumn("__r", F.row_number().over(Window.partitionBy("__v", "__p").orderBy("__h", "id"))).where(F.col("__r") <= n)
+    return rows.withColumn("__r", F.row_number().over(Window.partitionBy("__v").orderBy("__h", "id"))).where(F.col("__r") <= n).drop("__v", "__h", "__p", "__r")
+
+
 def context(df: DataFrame, part_file: str, at: int, radius: int = 20, order: str = "id") -> DataFrame:
     """Events of one file around a place."""
     return df.where((F.col("part_file") == part_file) & F.col(order).between(at - radius, at + radius)).orderBy(order)

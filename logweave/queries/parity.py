@@ -235,7 +235,37 @@ def participants(s, f):
     return got.select("id", "participants.attacker", "participants.target")
 
 
+@query(f"""{EV} select 'a' as pack, "user" as link, a.id as first_id, b.id as second_id, a.ts as first_ts, b.ts as second_ts from ev a join ev b using ("user") where a.code = 'signup' and b.code = 'error' and b.ts > a.ts and b.ts - a.ts <= 7200000
+    union all select 'b', source, a.id, b.id, a.ts, b.ts from ev a join ev b using (source) where a.code = 'purchase' and b.code = 'signup' and b.ts > a.ts and b.ts - a.ts <= 600000""")
+def behavior_packs(s, f):
+    ev = events_view(s, f).withColumn("action", F.col("code"))
+    return B.packs(ev, (("a", "signup", "error", ("user",), 7_200_000), ("b", "purchase", "signup", ("source",), 600_000)))
+
+
+@query(f"{EV} select id, code from ev qualify row_number() over (partition by code order by ('0x' || substr(md5(id || ':7'), 1, 15))::bigint, id) <= 15")
+def sample_stratified(s, f):
+    return paging.stratified(events_view(s, f), F.col("code"), 15).select("id", "code")
+
+
 # ---- transforms ----
+@query(f"{EV} select id, case when code = 'error' then \"user\" else 'k' || k end as who, case when code = 'error' then 0 else 1 end as rule, case when code = 'error' then 'user' else 'k' end as col from ev")
+def field_advanced(s, f):
+    """A field with the rule and column that gave it."""
+    from logweave.functions.transforms import Rule
+    from logweave.operators.examples import advanced_field
+
+    got = advanced_field(events_view(s, f), "who", [Rule("user", r"^(user-\d+)$", "$1", (Filter("code", "equals", "error"),)), Rule("k", r"^(\d+)$", "k$1")])
+    return got.select("id", "who", F.col("who_from.rule").alias("rule"), F.col("who_from.column").alias("col"))
+
+
+@query(f"{EV} select id, latency::varchar as took from ev")
+def field_by_example(s, f):
+    """The number before ``ms``, from two marked samples."""
+    from logweave.operators.examples import Example, extract_by_example
+
+    marked = [Example(t, t.index("took ") + 5, t.index(" ms")) for t in ("view item 3 took 17 ms from 10.0.0.1", "error item 12 took 5 ms from 10.0.9.9")]
+    return extract_by_example(events_view(s, f), "message", "took", marked).select("id", "took")
+
 @query(f"""{EV} select id, source as host, code as "at", k::varchar as first, 'x' as second from ev""")
 def transform_xml(s, f):
     text = F.concat(F.lit('<ev at="'), "code", F.lit('"><host>'), "source", F.lit("</host><n>"), "k", F.lit("</n><n>x</n></ev>"))

@@ -114,3 +114,32 @@ def test_participants(spark):
     got = {r["id"]: r["participants"] and (r["participants"]["attacker"], r["participants"]["target"]) for r in roles.participants(df).collect()}
     assert got == {1: ("9.9.9.9", "h"), 2: None, 3: ("8.8.8.8", "/a")}
     assert rules.run_all(rules.flat(df.limit(0))).count() == 0
+
+
+def test_locators():
+    from logweave.operators.examples import Example, locators, verify
+
+    texts = [("user=ana from 10.0.0.1 port 22", "10.0.0.1"), ("user=bob from 10.9.0.77 port 1", "10.9.0.77")]
+    got = locators([Example(t, t.index(v), t.index(v) + len(v)) for t, v in texts])
+    assert got and all(verify(p, [t for t, _ in texts]) == [v for _, v in texts] for p in got) and verify(got[0], ["x from 1.2.3.4 port 9", "nothing", None]) == ["1.2.3.4", None, None]
+    assert locators([]) == [] and locators([Example("abc", 0, 3), Example("zz 9", 0, 4)]) == ["^(.+?)$"]
+    with pytest.raises(ValueError):
+        locators([Example("abc", 2, 2)])
+
+
+def test_store_grows_by_new_files_and_indexes(spark, tmp_path):
+    from logweave.sources import index
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text('{"message":"m1","user":"ana"}\n{"message":"m2"}\n')
+    store = str(tmp_path / "store")
+    assert index.add_new_files(spark, str(tmp_path / "in"), store) == 1 and index.add_new_files(spark, str(tmp_path / "in"), store) == 0
+    (tmp_path / "in" / "b.jsonl").write_text('{"message":"m3","user":"ana"}\n')
+    (tmp_path / "in" / "a.jsonl").write_text('{"message":"m1","user":"ana"}\n{"message":"m2"}\n{"message":"m4"}\n')
+    assert index.add_new_files(spark, str(tmp_path / "in"), store) == 2
+    events = index.stored_events(spark, store)
+    assert sorted(r["message"] for r in events.collect()) == ["m1", "m2", "m3", "m4"]
+    numbered = events.withColumn("id", F.xxhash64("message"))
+    index.index_field(numbered, "user", str(tmp_path / "i"))
+    assert sorted(r["message"] for r in index.by_index(numbered, str(tmp_path / "i"), "ana").collect()) == ["m1", "m3"] and index.by_index(numbered, str(tmp_path / "i"), "Ana").count() == 0
+    assert tuple(index.index_status(spark, str(tmp_path / "i")).first()) == (2, 1)
