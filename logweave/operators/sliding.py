@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from logweave.operators.ordered import block_width, with_previous, with_running
+from logweave.operators.ordered import with_previous, with_running
 
 
 #: Length of a block of time in window widths: one row in so many is context of two blocks.
@@ -21,42 +21,52 @@ def span(by: Sequence[str], width: int) -> WindowSpec:
 
 def with_sliding(df: DataFrame, by: Sequence[str], width: int, distinct: str = "", flag: Column | None = None, number: Column | None = None) -> DataFrame:
     """Counts, distinct values, flagged events and number statistics of the last ``width`` milliseconds."""
-    # a block of time holds the rows of its span and, as context, those of the ``width`` before it, so that no group is one task
-    block = BLOCK_WIDTHS * max(width, 1)
-    own = F.floor(F.col("ts") / block)
-    into = F.when(F.pmod(F.col("ts"), F.lit(block)) >= block - width, F.array(own, own + 1)).otherwise(F.array(own))
-    rows = df.where("ts is not null").withColumn("__b", F.explode(into))
+    rows, own = _in_blocks(df, width)
     w = span([*by, "__b"], width)
+    if distinct:
+        rows = _counted_values(rows, by, width, distinct, "win_distinct")
     out = rows.withColumn("win_n", F.count("*").over(w))
     if flag is not None:
         out = out.withColumn("win_flagged", F.count_if(flag).over(w))
     if number is not None:
         out = out.withColumn("win_sum", F.sum(number).over(w)).withColumn("win_avg", F.avg(number).over(w))
         out = out.withColumn("win_min", F.min(number).over(w)).withColumn("win_max", F.max(number).over(w))
-    out = out.where(F.col("__b") == own).drop("__b")
-    return with_distinct(out, by, width, distinct) if distinct else out
+    return out.where(F.col("__b") == own).drop("__b")
 
 
-def with_distinct(df: DataFrame, by: Sequence[str], width: int, column: str, name: str = "win_distinct") -> DataFrame:
-    """``df`` with the number of different values in the last ``width`` milliseconds.
+def _in_blocks(df: DataFrame, width: int) -> tuple[DataFrame, Column]:
+    """Dated rows in blocks of time (column ``__b``) and the block that a row belongs to.
+
+    A block holds the rows of its span and, as context, those of the ``width`` before it, so that no group is one task.
+    """
+    block = BLOCK_WIDTHS * max(width, 1)
+    own = F.floor(F.col("ts") / block)
+    into = F.when(F.pmod(F.col("ts"), F.lit(block)) >= block - width, F.array(own, own + 1)).otherwise(F.array(own))
+    return df.where("ts is not null").withColumn("__b", F.explode(into)), own
+
+
+def _counted_values(rows: DataFrame, by: Sequence[str], width: int, column: str, name: str) -> DataFrame:
+    """The number of different values in the last ``width`` milliseconds.
 
     A value counts from each of its rows on for ``width``; where it stands again within that time, its spans are one.  The number of
-    values at an instant is the number of spans that have begun less those that have ended: no row holds a set.
+    values at an instant is the number of spans that have begun less those that have ended: no row holds a set.  All windows are
+    within (group, block), so that one shuffle serves them.
     """
-    block = block_width(df)
-    seen = df.where(F.col(column).isNotNull()).select(*by, F.col(column).alias("__value"), "ts").distinct()
-    seen = with_previous(seen, [*by, "__value"], {"ts": "__last"}, ("ts",), block)
-    again = F.col("ts") - F.col("__last") <= width
-    begun = seen.where(F.col("__last").isNull() | ~again).select(*by, "ts", F.lit(0).alias("__kind"), F.lit(1).alias("__step"))
-    # a span that is not joined by the next row ends: written by that next row, and by the last row of each value
-    ended = seen.where(~again).select(*by, (F.col("__last") + width).alias("ts")).unionByName(seen.groupBy(*by, "__value").agg((F.max("ts") + width).alias("ts")).select(*by, "ts"))
-    ended = ended.select(*by, "ts", F.lit(2).alias("__kind"), F.lit(-1).alias("__step"))
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    rows = df.select(*by, "ts", F.lit(1).alias("__kind"), F.lit(0).alias("__step"), row.alias("__row"))
-    steps = begun.unionByName(ended).groupBy(*by, "ts", "__kind").agg(F.sum("__step").cast("int").alias("__step"))
-    both = rows.unionByName(steps.withColumn("__row", F.lit(None).cast(rows.schema["__row"].dataType)))
-    both = with_running(both, by, F.col("__step"), name, ("ts", "__kind"), block).where("__kind = 1")
-    return both.select("__row.*", F.col(name).cast("int").alias(name))
+    value, same = F.col(f"`{column}`"), Window.partitionBy(*by, "__b", F.col(f"`{column}`")).orderBy("ts")
+    before, behind = F.lag("ts").over(same), F.lead("ts").over(same)
+    rows = rows.repartition(*by, "__b")
+    rows = rows.withColumn("__begun", (value.isNotNull() & (before.isNull() | (F.col("ts") - before > width))).cast("int"))
+    rows = rows.withColumn("__ended", (value.isNotNull() & (behind.isNull() | (behind - F.col("ts") > width))).cast("int"))
+    order = Window.partitionBy(*by, "__b").orderBy("ts")
+    begun = F.sum("__begun").over(order.rangeBetween(Window.unboundedPreceding, 0))
+    ended = F.sum("__ended").over(order.rangeBetween(Window.unboundedPreceding, -(width + 1)))
+    return rows.withColumn(name, (begun - F.coalesce(ended, F.lit(0))).cast("int")).drop("__begun", "__ended")
+
+
+def with_distinct(df: DataFrame, by: Sequence[str], width: int, column: str, name: str = "win_distinct") -> DataFrame:
+    """``df`` with the number of different values of a column in the last ``width`` milliseconds; undated rows are left out."""
+    rows, own = _in_blocks(df, width)
+    return _counted_values(rows, by, width, column, name).where(F.col("__b") == own).drop("__b")
 
 
 def islands(df: DataFrame, by: Sequence[str], width: int, hit: Column) -> DataFrame:
@@ -64,12 +74,16 @@ def islands(df: DataFrame, by: Sequence[str], width: int, hit: Column) -> DataFr
 
     A hit stands for its whole window; ranges that overlap or touch are one.
     """
-    hits = df.where(hit)
-    block = block_width(hits)
-    hits = with_previous(hits, by, {"ts": "__last"}, width=block)
-    new = F.col("__last").isNull() | (F.col("ts") - F.col("__last") > width)
-    hits = with_running(hits, by, new.cast("int"), "run", width=block)
-    return hits.groupBy(*by, "run").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("hits"), F.max("win_n").alias("peak")).drop("run")
+    # a hit begins a range if none of the ``width`` before it is one: blocks with their context tell; ranges of blocks are then put together
+    hits, own = _in_blocks(df.where(hit).select(*by, "ts", "id", "win_n"), width)
+    local = Window.partitionBy(*by, "__b").orderBy("ts", "id")
+    before = F.lag("ts").over(local)
+    hits = hits.withColumn("__start", F.when(before.isNull() | (F.col("ts") - before > width), F.col("ts"))).where(F.col("__b") == own)
+    hits = hits.withColumn("__start", F.last("__start", True).over(local.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = hits.groupBy(*by, "__b", "__start").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("hits"), F.max("win_n").alias("peak"))
+    whole = F.last("__start", True).over(Window.partitionBy(*by).orderBy("__b", F.asc_nulls_first("__start")).rowsBetween(Window.unboundedPreceding, 0))
+    parts = parts.withColumn("__start", whole)
+    return parts.groupBy(*by, "__start").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("hits").alias("hits"), F.max("peak").alias("peak")).drop("__start")
 
 
 def rising_edges(df: DataFrame, by: Sequence[str], hit: Column) -> DataFrame:

@@ -67,3 +67,21 @@ def test_jumps(spark):
     rows = [(1, "h", 10, 5), (2, "h", 20, 6), (3, "h", 30, 9), (4, "h", 40, 9), (5, "h", 50, 3), (6, "g", 5, 1), (7, "h", 60, None)]
     got = sliding.sequence_jumps(spark.createDataFrame(rows, "id long, key string, ts long, n int"), ["key"], "n").orderBy("id").collect()
     assert [(r["id"], r["before"], r["number"], r["missing"]) for r in got] == [(3, 6, 9, 2), (4, 9, 9, -1), (5, 9, 3, -7)]
+
+
+@pytest.mark.parametrize("width", [1, 40, 900])
+def test_islands(df, width):
+    rows = sliding.with_sliding(df, ["key"], width)
+    got = {(r["key"], r["first"], r["last"], r["hits"]) for r in sliding.islands(rows, ["key"], width, F.col("win_n") >= 2).collect()}
+    want = set()
+    for key, some in groups().items():
+        times = [r[2] for r in some]
+        hits = [t for t in times if sum(t - width <= x <= t for x in times) >= 2]
+        runs: list[list[int]] = []
+        for t in hits:
+            if runs and t - runs[-1][-1] <= width:
+                runs[-1].append(t)
+            else:
+                runs.append([t])
+        want |= {(key, r[0], r[-1], len(r)) for r in runs}
+    assert got == want
