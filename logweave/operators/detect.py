@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.operators.aggregates import percentiles
-from logweave.operators.ordered import block_width, with_previous, with_running
-from logweave.operators.sliding import BLOCK_WIDTHS, islands, with_sliding
+from logweave.operators.ordered import carried, with_previous, with_running
+from logweave.operators.sliding import BLOCK_WIDTHS, in_blocks, islands, with_sliding
 
 
 def single(df: DataFrame, where: Column, unless: Column | None = None) -> DataFrame:
@@ -148,9 +148,15 @@ def sequence(df: DataFrame, steps: Sequence[Column], by: Sequence[str], width: i
     for k, s in enumerate(steps):
         bits = bits + F.when(F.coalesce(s, F.lit(False)), 1 << k).otherwise(0)
     rows = df.where("ts is not null").select(*by, "ts", "id", bits.alias("steps")).where("steps > 0")
-    block = block_width(rows)
-    rows = with_previous(rows, by, {"ts": "__last"}, width=block)
-    rows = with_running(rows, by, (F.col("ts") - F.col("__last") > width).cast("int"), "__stretch", width=block)
+    # a stretch is named by its first time; blocks with their context tell where one begins, the last one of the blocks before is carried in
+    rows, own = in_blocks(rows, width)
+    local = Window.partitionBy(*by, "__b").orderBy("ts", "id")
+    before = F.lag("ts").over(local)
+    rows = rows.withColumn("__begin", F.when(before.isNull() | (F.col("ts") - before > width), F.col("ts"))).where(F.col("__b") == own)
+    rows = rows.withColumn("__begin", F.last("__begin", True).over(local.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = rows.groupBy(*by, "__b").agg(F.max("__begin").alias("__end"))
+    ends = ends.withColumn("__carry", F.last("__end", True).over(Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))).drop("__end")
+    rows = carried(rows, ends, by).withColumn("__stretch", F.coalesce("__begin", "__carry"))
     kinds = ", ".join(f"`{b}` {dict(rows.dtypes)[b]}" for b in by)
     names, count, keys = [*by, "first", "last", "events"], len(steps), [*by, "__stretch"]
 

@@ -23,7 +23,7 @@ def block_width(df: DataFrame, ts: str = "ts", blocks: int | None = None) -> int
     return 1 if r["a"] is None else max(1, -(-(int(r["b"]) - int(r["a"]) + 1) // blocks))
 
 
-def _carried(rows: DataFrame, blocks: DataFrame, by: Sequence[str]) -> DataFrame:
+def carried(rows: DataFrame, blocks: DataFrame, by: Sequence[str]) -> DataFrame:
     """rows with the columns of their block; null keys meet null keys."""
     other = blocks.select(*[F.col(k).alias(f"__carry_k{i}") for i, k in enumerate([*by, "__b"])], *[c for c in blocks.columns if c not in (*by, "__b")])
     on = F.lit(True)
@@ -45,7 +45,7 @@ def with_previous(df: DataFrame, by: Sequence[str], values: dict[str, str], orde
     rows = rows.withColumn("__before", F.lag("__v").over(Window.partitionBy(*by, "__b").orderBy(*order)))
     ends = rows.groupBy(*by, "__b").agg(F.max_by("__v", F.struct(*order)).alias("__end"))
     ends = ends.withColumn("__carry", F.lag("__end").over(Window.partitionBy(*by).orderBy("__b"))).drop("__end")
-    out = _carried(rows, ends, by)
+    out = carried(rows, ends, by)
     before = F.coalesce("__before", "__carry")
     return out.withColumns({n: before[n] for n in values.values()}).drop("__b", "__v", "__before", "__carry")
 
@@ -61,4 +61,4 @@ def with_running(df: DataFrame, by: Sequence[str], number: Column, name: str, or
     sums = rows.groupBy(*by, "__b").agg(F.sum("__n").alias("__sum"))
     before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("__carry", F.coalesce(F.sum("__sum").over(before), F.lit(0))).drop("__sum")
-    return _carried(rows, sums, by).withColumn(name, F.col("__within") + F.col("__carry")).drop("__b", "__n", "__within", "__carry")
+    return carried(rows, sums, by).withColumn(name, F.col("__within") + F.col("__carry")).drop("__b", "__n", "__within", "__carry")

@@ -21,7 +21,7 @@ def span(by: Sequence[str], width: int) -> WindowSpec:
 
 def with_sliding(df: DataFrame, by: Sequence[str], width: int, distinct: str = "", flag: Column | None = None, number: Column | None = None) -> DataFrame:
     """Counts, distinct values, flagged events and number statistics of the last ``width`` milliseconds."""
-    rows, own = _in_blocks(df, width)
+    rows, own = in_blocks(df, width)
     w = span([*by, "__b"], width)
     if distinct:
         rows = _counted_values(rows, by, width, distinct, "win_distinct")
@@ -34,7 +34,7 @@ def with_sliding(df: DataFrame, by: Sequence[str], width: int, distinct: str = "
     return out.where(F.col("__b") == own).drop("__b")
 
 
-def _in_blocks(df: DataFrame, width: int) -> tuple[DataFrame, Column]:
+def in_blocks(df: DataFrame, width: int) -> tuple[DataFrame, Column]:
     """Dated rows in blocks of time (column ``__b``) and the block that a row belongs to.
 
     A block holds the rows of its span and, as context, those of the ``width`` before it, so that no group is one task.
@@ -65,7 +65,7 @@ def _counted_values(rows: DataFrame, by: Sequence[str], width: int, column: str,
 
 def with_distinct(df: DataFrame, by: Sequence[str], width: int, column: str, name: str = "win_distinct") -> DataFrame:
     """``df`` with the number of different values of a column in the last ``width`` milliseconds; undated rows are left out."""
-    rows, own = _in_blocks(df, width)
+    rows, own = in_blocks(df, width)
     return _counted_values(rows, by, width, column, name).where(F.col("__b") == own).drop("__b")
 
 
@@ -75,7 +75,7 @@ def islands(df: DataFrame, by: Sequence[str], width: int, hit: Column) -> DataFr
     A hit stands for its whole window; ranges that overlap or touch are one.
     """
     # a hit begins a range if none of the ``width`` before it is one: blocks with their context tell; ranges of blocks are then put together
-    hits, own = _in_blocks(df.where(hit).select(*by, "ts", "id", "win_n"), width)
+    hits, own = in_blocks(df.where(hit).select(*by, "ts", "id", "win_n"), width)
     local = Window.partitionBy(*by, "__b").orderBy("ts", "id")
     before = F.lag("ts").over(local)
     hits = hits.withColumn("__start", F.when(before.isNull() | (F.col("ts") - before > width), F.col("ts"))).where(F.col("__b") == own)
