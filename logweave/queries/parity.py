@@ -293,10 +293,12 @@ def retimestamped(s, f):
 
 # ---- files ----
 def _written(s: SparkSession, rows: DataFrame, suffix: str = "") -> str:
-    """A folder of text files of the rows' lines, in the shared folder for intermediate data."""
+    """A folder of text files of the rows' lines, in the shared folder for intermediate data, removed when the session's process ends."""
     ensure_checkpoint_dir(s)
     folder = f"{s.sparkContext._jsc.sc().getCheckpointDir().get()}/text-{uuid.uuid4().hex}{suffix}"
     rows.write.text(folder)
+    path = s._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(s._jsc.hadoopConfiguration()).deleteOnExit(path)
     return folder
 
 
